@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from fathomline.llm import simhash
+from fathomline.llm import chat, exact_dedup, language, packing, simhash, token_counts, token_files
 
-_RUN = {"op1_simhash": simhash.op1_simhash}
-_SQL: dict[str, str] = {}
+_RUN = {
+    "op1_simhash": simhash.op1_simhash,
+    "op3_token_files": token_files.op3_token_files,
+    "op5_packing": packing.op5_packing,
+    "op6_chat": chat.op6_chat,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_language": language.op9_language,
+    "op10_token_counts": token_counts.op10_token_counts,
+}
+_SQL = {"op6_chat": chat.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
 
 
 def queries():
