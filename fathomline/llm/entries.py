@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from fathomline.llm import chat, exact_dedup, language, packing, simhash, token_counts, token_files
+from fathomline.llm import chat, exact_dedup, language, leaks, licenses, packing, pages, simhash, token_counts, token_files
 
 _RUN = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_pages": pages.op2_pages,
     "op3_token_files": token_files.op3_token_files,
+    "op4_licenses": licenses.op4_licenses,
     "op5_packing": packing.op5_packing,
     "op6_chat": chat.op6_chat,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_leaks": leaks.op8_leaks,
     "op9_language": language.op9_language,
     "op10_token_counts": token_counts.op10_token_counts,
 }
