@@ -88,7 +88,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
         return none
     classes = length_classes([len(r.words) for r in known])
     reach = max(c[1] + c[2] for c in classes)
-    wanted = sorted({h for r in known for h in r.h})
+    wanted = f"exists(h, x -> x IN ({', '.join(f'{h}L' for h in sorted({h for r in known for h in r.h}))}))"
     parts = (
         docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("words"))
         .where(f"size(words) >= {SHINGLE}")
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
     )
     hashed = parts.select("doc_id", "s", "words", F.expr(_shingles("words")).alias("h"))
     # what follows works on segments with a shingle of some template
-    live = written(hashed.where(F.exists("h", lambda h: h.isin(wanted))), "segments")
+    live = written(hashed.where(wanted), "segments")
     windows = None
     for k, (_, longest, step) in enumerate(classes):
         width = longest + step - 1
@@ -106,7 +106,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
             f"transform(sequence(0, greatest(0, size(words) - {width} + {step} - 1), {step}), p -> "
             f"struct(p AS p, slice(words, p + 1, {width}) AS words, slice(h, p + 1, {width - SHINGLE + 1}) AS h))"
         )).alias("w")).select("doc_id", (F.col("s") + F.col("w.p")).alias("at"), F.col("w.words").alias("words"), F.col("w.h").alias("h")).where("size(h) > 0")
-        cut = cut.where(F.exists("h", lambda h: h.isin(wanted)))
+        cut = cut.where(wanted)
         keyed = cut.select("doc_id", "at", "words", F.explode(F.array_distinct(F.expr(_bands("h", str(k))))).alias("band"))
         windows = keyed if windows is None else windows.unionByName(keyed)
     kinds = F.create_map(*(x for r in known for x in (F.lit(r.template), F.lit(next(k for k, c in enumerate(classes) if c[0] <= len(r.words) <= c[1])))))

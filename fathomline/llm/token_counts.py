@@ -17,11 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import arrow_rows
-from fathomline.llm.units import CUTS, SPACE, Kept, vocabulary
+from fathomline.llm.units import SURE, Read, vocabulary
 
 CHUNK = 1 << 16
-#: White space after anything else: no token lies across it.
-SURE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 NO_LIMIT = 1 << 60
 SHIFT = 20
 
@@ -34,7 +32,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Transducer:
+class Transducer(Read):
     """Counts of tokens of byte strings, for a tokenizers JSON file of a byte-level BPE."""
 
     def __init__(self, path: str):
@@ -69,7 +67,8 @@ class Transducer:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.kept, self.joined = Kept(), {}
+        self.joined: dict[int, bool] = {}
+        super().__init__(lambda new: list(map(self.piece, new)), sum)
 
     def meet(self, a: int, b: int) -> bool:
         """Whether BPE leaves the tokens a and b side by side when their bytes are joined.
@@ -129,10 +128,6 @@ class Transducer:
             at = m.end() if m else end
         return total
 
-    def closed(self, text: str) -> int:
-        """Tokens of a text that starts and ends at cuts."""
-        return sum(self.kept.values(CUTS.findall(text), lambda new: list(map(self.piece, new))))
-
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
         """(before the first sure cut, tokens between, after the last); no cut: (chunk, None, "")."""
         first = SURE.search(chunk)

@@ -59,8 +59,9 @@ class Code:
         step = np.int64(1) << (self.width - self.lengths)
         self.first = np.concatenate([[0], np.cumsum(step)[:-1]]).astype(np.int64) if len(ids) else step
         top = int(self.ids.max(initial=0)) + 1
-        self.code_of, self.len_of = np.zeros(top, np.uint32), np.zeros(top, np.int64)
-        self.code_of[self.ids] = self.first << (32 - self.width)
+        kind = np.dtype(">u2" if self.width <= 16 else ">u4")
+        self.code_of, self.len_of = np.zeros(top, kind), np.zeros(top, np.int64)
+        self.code_of[self.ids] = self.first << (8 * kind.itemsize - self.width)
         self.len_of[self.ids] = self.lengths
         self.table_id = np.zeros(1 << self.width, np.int64)
         self.table_len = np.ones(1 << self.width, np.int64)
@@ -73,8 +74,8 @@ class Code:
         if not len(ids):
             return b"", np.zeros(0, np.int64)
         n = self.len_of[ids]
-        bits = np.unpackbits(self.code_of[ids].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, : self.width]
-        packed = np.packbits(bits[np.arange(self.width) < n[:, None]]).tobytes()
+        bits = np.unpackbits(self.code_of[ids].view(np.uint8)).reshape(len(ids), -1)
+        packed = np.packbits(bits[np.arange(bits.shape[1]) < n[:, None]]).tobytes()
         return packed, np.concatenate([[0], np.cumsum(n)[:-1]])[::LANE]
 
     def decode(self, payload: bytes, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -139,11 +140,10 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(1, np.int64)
         for b in batches:
-            for x, n in zip(b["ids"], b["n"], strict=True):
-                one = np.bincount(_numbers(x, n))
-                if len(one) > len(total):
-                    total = np.pad(total, (0, len(one) - len(total)))
-                total[: len(one)] += one
+            one = np.bincount(np.concatenate([_numbers(x, n) for x, n in zip(b["ids"], b["n"], strict=True)]))
+            if len(one) > len(total):
+                total = np.pad(total, (0, len(one) - len(total)))
+            total[: len(one)] += one
         ids = np.flatnonzero(total)
         yield {"id": ids.tolist(), "count": total[ids].tolist()}
 

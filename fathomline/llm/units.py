@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -21,28 +21,29 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CUTS = re.compile(
     f"\\n(?=[^\\W_])|[{SPACE}]*[^\\W_\u0130]++(?=[{SPACE}\\x21-\\x26\\x28-\\x7e]|\\Z)(?!_)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 )
-SLICE = 1 << 15
+#: White space after anything else: no token lies across it.
+SURE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+WHITE = re.compile(f"[{SPACE}]")
+STRETCH = 1 << 17
 KEPT_CHARS = 48
 
 
-def slices(text: str) -> Iterator[list[str]]:
-    """The pieces of a text, some ten thousand at a time."""
-    if len(text) < 1 << 18:
-        yield CUTS.findall(text)
-        return
-    held: list[str] = []
-    for m in CUTS.finditer(text):
-        held.append(m[0])
-        if len(held) >= SLICE:
-            yield held
-            held = []
-    yield held
+def stretches(text: str) -> Iterator[str]:
+    """A text cut at sure places, so that none of its pieces is much longer than a stretch."""
+    at = 0
+    while len(text) - at > 2 * STRETCH:
+        m = SURE.search(text, at + STRETCH)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 class Kept:
     """Values of pieces in two generations: when the young one is full, the old one is dropped."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.young, self.old = most, {}, {}
 
     def values(self, pieces: list[str], find) -> list:
@@ -63,7 +64,45 @@ class Kept:
         return found
 
 
-class Encoder:
+class Irregular(Exception):
+    """A run of white space that a split at single blanks would cut."""
+
+
+class Read:
+    """Values of whole texts from values of their pieces.
+
+    ``find`` gives the values of new pieces, ``add`` joins values in order. Most texts have single
+    blanks, so words with what clings to them are looked up first; a new one is cut into pieces,
+    and only pieces that are new as well go to ``find``. A text with other blanks is cut as a whole.
+    """
+
+    def __init__(self, find: Callable[[list[str]], list], add: Callable[[list], object]):
+        self.find, self.add = find, add
+        self.pieces, self.parts = Kept(), Kept()
+
+    def _of_parts(self, new: list[str]) -> list:
+        if any(not p or WHITE.match(p[-1]) for p in new):
+            raise Irregular
+        cut = [CUTS.findall(" " + p) for p in new]
+        values = iter(self.pieces.values([x for c in cut for x in c], self.find))
+        return [self.add([next(values) for _ in c]) for c in cut]
+
+    def closed(self, text: str):
+        """The value of a text that starts and ends at cuts."""
+        first, *rest = text.split(" ")
+        if rest and not (first and WHITE.match(first[-1])):
+            try:
+                values = self.parts.values(rest, self._of_parts)
+                return self.add(self.pieces.values(CUTS.findall(first), self.find) + values)
+            except Irregular:
+                pass
+        return self.add(self.pieces.values(CUTS.findall(text), self.find))
+
+    def __call__(self, text: str | None):
+        return self.add([self.closed(x) for x in stretches(text or "")])
+
+
+class Encoder(Read):
     """Ids of a tokenizers file as little-endian unsigned 32-bit bytes, with a bounded memory of pieces."""
 
     def __init__(self, path: str):
@@ -72,15 +111,12 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.kept = Kept()
+        super().__init__(self.ids, b"".join)
 
     def ids(self, pieces: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in got]
 
-    def __call__(self, text: str | None) -> bytes:
-        return b"".join(b"".join(self.kept.values(p, self.ids)) for p in slices(text or ""))
-
 
 _OPEN: dict[str, Encoder] = {}
 
