@@ -299,6 +299,7 @@ FROM d JOIN g USING (text_sha256)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay."""
-    kept = groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay; rows that repeat a kept doc_id and its text stay with it."""
+    kept = groups(docs).where("kept").select(F.col("doc_id").alias("k"), F.col("text_sha256").alias("s")).distinct()
+    same = docs.doc_id.eqNullSafe(kept.k) & (F.sha2(normalised(docs.text), 256) == kept.s)
+    return docs.join(kept, same, "left_semi").select(*docs.columns)

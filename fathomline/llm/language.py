@@ -177,6 +177,7 @@ def op9_language(spark, sf_dir: str) -> DataFrame:
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; texts without letters go."""
-    kept = identified(docs).where(F.col("lang_pred") != UNKNOWN).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose text has a language; null texts and texts without letters go."""
+    model = fit(docs.where(~held_out()))
+    others = [F.col(c) for c in docs.columns if c != "doc_id"]
+    return predict(docs, model, *others).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

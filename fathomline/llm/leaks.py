@@ -25,31 +25,48 @@ ALIKE = 0.8
 PART = 13
 
 
-def words(text: Column) -> Column:
+def words(text: Column | str = "text") -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.expr(words_sql(text)) if isinstance(text, str) else F.filter(
+        F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""
+    )
+
+
+def words_sql(text: str = "text") -> str:
+    return f"filter(split(lower(coalesce({text}, '')), r'[^\\p{{L}}\\p{{N}}]+'), w -> w <> '')"
+
+
+def segments(words: str, length: int, reach: int) -> Column:
+    """Overlapping parts (s, words) of an array, as an array.
+
+    A lambda variable holds the words: an expression that stood inside another lambda would be
+    evaluated anew for each element.
+    """
+    return F.expr(
+        f"flatten(transform(array({words}), w -> transform(sequence(0, greatest(0, size(w) - 1), {length}), "
+        f"s -> struct(s AS s, slice(w, s + 1, {length + reach}) AS words))))"
+    )
 
 
 def _seeds(hashes: str) -> str:
     """SQL for the array of (at, the masks' hashes) over an array of word hashes."""
-    reads = [", ".join(f"get({hashes}, i + {p})" for p, c in enumerate(m) if c == "1") for m in MASKS]
+    reads = [", ".join(f"get(h, i + {p})" for p, c in enumerate(m) if c == "1") for m in MASKS]
     each = ", ".join(f"xxhash64({k}, {r})" for k, r in enumerate(reads))
-    last = f"size({hashes}) - {SHORTEST}"
-    return f"CASE WHEN {last} >= 0 THEN transform(sequence(0, {last}), i -> struct(i AS at, array({each}) AS seeds)) END"
+    return (
+        f"flatten(transform(array({hashes}), h -> transform(sequence(0, size(h) - {SHORTEST}), "
+        f"i -> struct(i AS at, array({each}) AS seeds))))"
+    )
 
 
-def _exploded(rows: DataFrame, key: str) -> DataFrame:
+def _exploded(rows: DataFrame, key: str, words: str) -> DataFrame:
     """(key, at, seed) for every window of every row; long texts are read in segments."""
     reach = max(map(len, MASKS)) - 1
-    hashed = rows.select(key, F.expr("transform(words, w -> xxhash64(w))").alias("h")).where(f"size(h) >= {SHORTEST}")
-    parts = hashed.select(key, "h", F.explode(F.expr(f"sequence(0, size(h) - 1, {SEGMENT})")).alias("s")).select(
-        key, "s", F.expr(f"slice(h, s + 1, {SEGMENT + reach})").alias("h")
-    )
-    windows = parts.select(key, "s", F.explode(F.expr(_seeds("h"))).alias("w"))
+    parts = rows.select(key, F.explode(segments(words, SEGMENT, reach)).alias("p")).where(f"size(p.words) >= {SHORTEST}")
+    windows = parts.select(key, "p.s", F.explode(F.expr(_seeds("transform(p.words, w -> xxhash64(w))"))).alias("w"))
     return windows.select(key, (F.col("s") + F.col("w.at")).alias("at"), F.explode("w.seeds").alias("seed"))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """A broadcast only behind a count; larger tables are shuffled."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -64,20 +81,21 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     count once. Empty tables give no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    item_words = written(items.select(F.col("item_id").cast("long"), words(F.col("text")).alias("words")).where("size(words) > 0").distinct(), "items")
-    seeds = written(_exploded(item_words, "item_id").distinct(), "seeds").withColumnRenamed("at", "item_at")
-    of_docs = _exploded(docs.select("doc_id", words(F.col("text")).alias("words")), "doc_id")
+    item_words = written(items.select(F.col("item_id").cast("long"), words().alias("words")).where("size(words) > 0").distinct(), "items")
+    seeds = written(_exploded(item_words, "item_id", "words").distinct(), "seeds").withColumnRenamed("at", "item_at")
+    of_docs = _exploded(docs, "doc_id", words_sql())
     hits = written(
-        of_docs.join(_small(seeds), "seed")
+        of_docs.join(small(seeds), "seed")
         .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(),
         "hits",
     )
-    rows = docs.join(_small(hits), docs.doc_id.eqNullSafe(hits.doc_id)).select(
-        docs.doc_id, "item_id", "shift", words(F.col("text")).alias("own")
+    rows = docs.join(small(hits), docs.doc_id.eqNullSafe(hits.doc_id)).select(
+        docs.doc_id, "item_id", "shift", "text"
     )
     kept_items = item_words.withColumnRenamed("item_id", "i")
-    beside = rows.join(_small(kept_items), F.col("item_id").eqNullSafe(F.col("i"))).select("doc_id", "item_id", F.expr(
-        "transform(words, (w, k) -> coalesce(shift + k >= 0 AND get(own, CAST(shift + k AS INT)) = w, false))"
+    beside = rows.join(small(kept_items), F.col("item_id").eqNullSafe(F.col("i"))).select("doc_id", "item_id", F.expr(
+        f"flatten(transform(array({words_sql()}), own -> transform(words, (w, k) -> "
+        "coalesce(shift + k >= 0 AND get(own, CAST(shift + k AS INT)) = w, false))))"
     ).alias("same"))
     scored = beside.select(
         "doc_id", "item_id", F.size("same").alias("item_words"),
@@ -88,7 +106,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         ).alias("run"),
     ).withColumn("share", F.expr("CAST(matched AS DOUBLE) / item_words"))
     short = (
-        docs.select("doc_id", words(F.col("text")).alias("own")).where(f"size(own) BETWEEN 1 AND {SHORTEST - 1}")
+        docs.select("doc_id", words().alias("own")).where(f"size(own) BETWEEN 1 AND {SHORTEST - 1}")
         .join(kept_items.where(f"size(words) < {SHORTEST}"), F.col("own") == F.col("words"))
         .select("doc_id", F.col("i").alias("item_id"), F.size("words").alias("item_words"), F.size("words").alias("matched"),
                 F.size("words").alias("run"), F.lit(1.0).alias("share"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import written
-from fathomline.llm.leaks import _small, words
+from fathomline.llm.leaks import segments, small, words, words_sql
 
 SHINGLE = 3
 SEEDS = (11, 23, 37, 53)
@@ -89,14 +89,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
     classes = length_classes([len(r.words) for r in known])
     reach = max(c[1] + c[2] for c in classes)
     wanted = f"exists(h, x -> x IN ({', '.join(f'{h}L' for h in sorted({h for r in known for h in r.h}))}))"
-    parts = (
-        docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("words"))
-        .where(f"size(words) >= {SHINGLE}")
-        .select("doc_id", "words", F.explode(F.expr(f"sequence(0, size(words) - 1, {SEGMENT})")).alias("s"))
-        .select("doc_id", F.col("s").cast("long").alias("s"), F.expr(f"slice(words, s + 1, {SEGMENT + reach})").alias("words"))
-        .where(f"size(words) >= {SHINGLE}")
-    )
-    hashed = parts.select("doc_id", "s", "words", F.expr(_shingles("words")).alias("h"))
+    parts = docs.select(
+        F.col("doc_id").cast("long"), F.explode(segments(words_sql(), SEGMENT, reach)).alias("p")
+    ).where(f"size(p.words) >= {SHINGLE}")
+    hashed = parts.select("doc_id", F.col("p.s").cast("long").alias("s"), F.col("p.words").alias("words"), F.expr(_shingles("p.words")).alias("h"))
     # what follows works on segments with a shingle of some template
     live = written(hashed.where(wanted), "segments")
     windows = None
@@ -116,7 +112,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
         .select("template", "license", "t_words", F.explode(F.array_distinct(F.expr(_bands("h", "kind")))).alias("band"))
     )
     text = lambda c: f"transform(sequence(0, size({c}) - {SHINGLE}), i -> concat_ws(' ', slice({c}, i + 1, {SHINGLE})))"
-    met = windows.join(_small(of_templates), "band").select(
+    met = windows.join(small(of_templates), "band").select(
         "doc_id", "at", "license", "template", F.expr(
             f"CAST(size(array_intersect({text('t_words')}, {text('words')})) AS DOUBLE) / size(array_distinct({text('t_words')}))"
         ).alias("containment"),

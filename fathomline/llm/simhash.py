@@ -106,5 +106,5 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its near-duplicate class."""
-    kept = near_duplicates(docs, words, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = near_duplicates(docs, words, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("k")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.k), "left_semi").select(*docs.columns)
