@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.plans import funding
+from fathomline.plans import canned, edges, filters, funding, measures, resolution, space, upserts
 
-_MODULES = (funding,)
+_PLANS = [m.PLANS for m in (funding, filters, edges, measures, upserts, resolution, space, canned)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for module in _MODULES for name, run in module.QUERIES.items()}
+    return {name: run for plans in _PLANS for name, run in plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+    return {name: sql for plans in _PLANS for name, sql in plans.oracles.items()}
