@@ -179,5 +179,6 @@ def op9_language(spark, sf_dir: str) -> DataFrame:
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has a language; null texts and texts without letters go."""
     model = fit(docs.where(~held_out()))
-    others = [F.col(c) for c in docs.columns if c != "doc_id"]
-    return predict(docs, model, *others).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    held = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)]
+    kept = predict(docs, model, *held).where(F.col("lang_pred") != UNKNOWN)
+    return kept.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -11,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import written
+from fathomline.llm.common import small, written
 
 #: 1: the word counts. Five words each over 5, 7 and 9 positions find any 15-word passage with up
 #: to three changed words in over 99 % of cases, longer ones practically always.
 MASKS = ("11111", "1101011", "110010101")
 SHORTEST = 5
 SEGMENT = 2048
-#: A table of at most so many rows of a few dozen bytes may be sent to every task.
-BROADCAST_ROWS = 400_000
 ALIKE = 0.8
 #: A copied part of an item counts from this many words on.
 PART = 13
@@ -66,11 +64,6 @@ def _exploded(rows: DataFrame, key: str, words: str) -> DataFrame:
     return windows.select(key, (F.col("s") + F.col("w.at")).alias("at"), F.explode("w.seeds").alias("seed"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast only behind a count; larger tables are shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, item_words, share, run): verified overlaps, the best of each pair.
 

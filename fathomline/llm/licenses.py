@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import written
-from fathomline.llm.leaks import segments, small, words, words_sql
+from fathomline.llm.common import small, written
+from fathomline.llm.leaks import segments, words, words_sql
 
 SHINGLE = 3
 SEEDS = (11, 23, 37, 53)
@@ -81,11 +81,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
     other columns are ignored.
     """
     spark = docs.sparkSession
-    table = template_table(spark, templates)
-    known = table.select("template", "license", "words", F.expr(_shingles("words")).alias("h")).collect()  # a parameter's size
-    none = docs.select(F.col("doc_id").cast("long"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_windows")).limit(0)
+    known = []
+    if templates:
+        table = template_table(spark, templates)
+        known = table.select("template", "license", "words", F.expr(_shingles("words")).alias("h")).collect()  # a parameter's size
     if not known:
-        return none
+        nothing = docs.select(F.col("doc_id").cast("long")).limit(0)
+        return nothing.selectExpr("doc_id", "'' AS license", "0.0D AS containment", "0L AS first_word", "0L AS n_windows")
     classes = length_classes([len(r.words) for r in known])
     reach = max(c[1] + c[2] for c in classes)
     wanted = f"exists(h, x -> x IN ({', '.join(f'{h}L' for h in sorted({h for r in known for h in r.h}))}))"
