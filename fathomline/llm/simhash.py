@@ -224,7 +224,7 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Two sketches meet if some band differs in at most two bits, found by balls of radius one. They
     are linked if the sketches agree beyond doubt, or the exact similarity of their shingle sets,
     compared wherever the sketches are within three standard deviations, is high enough. With the given bands a pair of similarity 0.8
-    meets with a probability of 0.92, one of 0.9 with 0.999. In a bucket each member is compared with the first
+    meets with a probability of 0.91, one of 0.9 with 0.999. In a bucket each member is compared with the first
     and the one before, first by number, then with those that have most links in front, so a
     text that many are alike to is compared with all of them and no bucket lists its pairs.
     Nulls, empty texts, repeated rows and empty tables behave as in near_duplicates.
