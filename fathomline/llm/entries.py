@@ -16,7 +16,12 @@ _RUN = {
     "op9_language": language.op9_language,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-_SQL = {"op6_chat": chat.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+_SQL = {
+    "op4_licenses": licenses.OP4_SQL,
+    "op6_chat": chat.OP6_SQL,
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op8_leaks": leaks.OP8_SQL,
+}
 
 
 def queries():

@@ -121,3 +121,39 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     bad = overlaps(docs, items).select("doc_id").distinct()
     marked = bad.withColumnRenamed("doc_id", "b")
     return docs.join(marked, docs.doc_id.eqNullSafe(marked.b), "left_anti").select(*docs.columns)
+
+
+def _sql_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _sql_seeds(source: str, key: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {key}, pos, {k} AS mask, concat_ws(' ', {', '.join(f'w[pos + {p + 1}]' for p, c in enumerate(m) if c == '1')}) AS seed FROM {source}"
+        for k, m in enumerate(MASKS)
+    )
+
+
+#: The same seeds, joined as words and not as hashes.
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_sql_words('text')} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, {_sql_words('text')} AS w FROM benchmark),
+dp AS (SELECT doc_id, w, unnest(range(0, len(w) - {SHORTEST - 1})) AS pos FROM d WHERE len(w) >= {SHORTEST}),
+bp AS (SELECT item_id, w, unnest(range(0, len(w) - {SHORTEST - 1})) AS pos FROM b WHERE len(w) >= {SHORTEST}),
+ds AS ({_sql_seeds('dp', 'doc_id')}), bs AS ({_sql_seeds('bp', 'item_id')}),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (mask, seed)),
+beside AS (
+  SELECT doc_id, item_id, len(b.w) AS item_words, list_transform(range(0, len(b.w)),
+    lambda k: CASE WHEN shift + k >= 0 THEN coalesce(d.w[shift + k + 1] = b.w[k + 1], false) ELSE false END) AS same
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+), scored AS (
+  SELECT doc_id, item_id, item_words, len(list_filter(same, lambda s: s)) AS matched,
+    list_reduce(list_prepend(0, list_transform(same, lambda s: CASE WHEN s THEN 1 ELSE -3 END)), lambda a, s:
+      greatest(a // 100000, greatest(0, a % 100000 + s)) * 100000 + greatest(0, a % 100000 + s)) // 100000 AS run
+  FROM beside
+)
+SELECT doc_id, item_id, max(matched) AS matched, any_value(item_words) AS item_words, round(max(matched) / any_value(item_words), 6) AS share
+FROM (SELECT * FROM scored WHERE matched / item_words >= {ALIKE} OR run >= {PART}
+  UNION ALL SELECT doc_id, item_id, len(b.w), len(b.w), len(b.w) FROM d JOIN b ON d.w = b.w WHERE len(b.w) BETWEEN 1 AND {SHORTEST - 1})
+GROUP BY doc_id, item_id
+"""

@@ -11,6 +11,8 @@ that check, so no windows are cut there.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,3 +130,26 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "license", F.round("containment", 6).alias("containment"))
+
+
+def _oracle() -> str:
+    """The same licences by joining shingles and sliding each class's longest template over the hits."""
+    from fathomline.llm.leaks import _sql_words
+
+    texts = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+    sizes = [sum(1 for _ in re.finditer(r"[^\W_]+", t)) for _, t in TEMPLATES]
+    classes = length_classes([n for n in sizes if n >= SHINGLE])
+    widths = ", ".join(f"({i}, {next(c[1] for c in classes if c[0] <= n <= c[1])})" for i, n in enumerate(sizes) if n >= SHINGLE)
+    shingles = lambda source, key: f"SELECT {key}, pos, concat_ws(' ', w[pos + 1], w[pos + 2], w[pos + 3]) AS s FROM (SELECT *, unnest(range(0, len(w) - 2)) AS pos FROM {source} WHERE len(w) >= {SHINGLE})"
+    return f"""
+WITH t AS (SELECT template, license, {_sql_words('text')} AS w, width FROM (VALUES {texts}) v(template, license, text) JOIN (VALUES {widths}) c(template, width) USING (template)),
+ts AS (SELECT DISTINCT template, s FROM ({shingles('t', 'template')})), n AS (SELECT template, count(*) AS n FROM ts GROUP BY ALL),
+d AS (SELECT doc_id, {_sql_words('text')} AS w FROM documents),
+hits AS (SELECT doc_id, pos, template, s FROM ({shingles('d', 'doc_id')}) JOIN ts USING (s)),
+windows AS (SELECT doc_id, template, s, unnest(range(greatest(0, pos - width + {SHINGLE}), pos + 1)) AS p FROM hits JOIN t USING (template)),
+found AS (SELECT doc_id, template, count(DISTINCT s) / any_value(n) AS containment FROM windows JOIN n USING (template) GROUP BY doc_id, template, p)
+SELECT doc_id, license, round(max(containment), 6) AS containment FROM found JOIN t USING (template) WHERE containment >= {CONTAINED} GROUP BY ALL
+"""
+
+
+OP4_SQL = _oracle()
