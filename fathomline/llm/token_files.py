@@ -1,8 +1,9 @@
 """Token ids in files under a canonical, length-limited Huffman code of their global counts.
 
-Passes: (1) tokenise each document once and keep its ids beside a histogram per task; (2) make
-the code from the summed histogram, encode pieces of documents, range-partition the encoded
-pieces by doc_id and write them as blocks. A block decodes alone: it holds whole pieces, and a
+Passes: (1) tokenise each document once and keep its ids; (2) sum histograms of tasks and make the
+code; (3) encode pieces of documents once, deal them to shards by ranges of doc_id and write
+them as blocks. Ranges come from quantiles of doc_id alone: a range exchange would sample, and so
+encode everything twice. A block decodes alone: it holds whole pieces, and a
 bit-offset checkpoint every ``LANE`` ids lets a table-driven decoder advance all lanes of a block
 at once. The files are Parquet rows (shard, block, ...), so Spark's commit protocol guards them
 and any store that Spark reads will do. The code table has a row for each id used.
@@ -158,6 +159,7 @@ def write(docs: DataFrame, folder: str, vocab: str = "byte_bpe_50k.json", end_id
     other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = written(tokenised(docs, vocab, end_id), "tokens")
     counts = id_counts(tokens).toPandas()  # at most a row for each id of the vocabulary
     lengths = code_lengths(counts["count"].to_numpy(), limit)
@@ -165,28 +167,30 @@ def write(docs: DataFrame, folder: str, vocab: str = "byte_bpe_50k.json", end_id
     spark.createDataFrame(table, "id long, length long").coalesce(1).write.parquet(f"{folder}/code")
     held = spark.sparkContext.broadcast(table)  # bounded by the vocabulary
 
+    cuts = sorted(set(tokens.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards)))
+    ranges = F.lit(0) if not cuts else F.expr(f"size(filter(array({', '.join(f'{int(c)}L' for c in cuts)}), c -> c < doc_id))")
+    tokens = tokens.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(ranges).cast("int"))
+
     def encoded(batches):
         code = Code(*zip(*held.value, strict=True)) if held.value else None
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "crc", "row", "at", "n", "doc_tokens", "payload", "marks")}
-            for doc, row, n, raw in zip(b["doc_id"], b["row"], b["n"], b["ids"], strict=True):
+            out: dict[str, list] = {k: [] for k in ("shard", "doc_id", "crc", "row", "at", "n", "doc_tokens", "payload", "marks")}
+            for shard, doc, row, n, raw in zip(b["shard"], b["doc_id"], b["row"], b["n"], b["ids"], strict=True):
                 ids = _numbers(raw, n)
                 crc = zlib.crc32(ids.astype("<u4").tobytes())
                 for at in range(0, n, BLOCK_IDS):
                     part = ids[at : at + BLOCK_IDS]
                     payload, marks = code.encode(part)
-                    for k, v in zip(out, (doc, crc, row, at, len(part), n, payload, marks.astype("<u4").tobytes()), strict=True):
+                    for k, v in zip(out, (shard, doc, crc, row, at, len(part), n, payload, marks.astype("<u4").tobytes()), strict=True):
                         out[k].append(v)
             yield out
 
     pieces = arrow_rows(
-        tokens, "doc_id long, crc long, row long, at long, n long, doc_tokens long, payload binary, marks binary", encoded
+        tokens, "shard int, doc_id long, crc long, row long, at long, n long, doc_tokens long, payload binary, marks binary", encoded
     )
 
     def blocks(batches):
-        from pyspark import TaskContext
-
-        shard, block, first = TaskContext.get().partitionId(), 0, 0
+        shard, block, first = -1, 0, 0
         held_rows: list[tuple] = []
 
         def one():
@@ -206,18 +210,20 @@ def write(docs: DataFrame, folder: str, vocab: str = "byte_bpe_50k.json", end_id
 
         size = 0
         for b in batches:
-            for r in zip(*(b[k] for k in ("doc_id", "at", "n", "doc_tokens", "payload", "marks")), strict=True):
-                if held_rows and size + r[2] > BLOCK_IDS:
+            for of, *r in zip(*(b[k] for k in ("shard", "doc_id", "at", "n", "doc_tokens", "payload", "marks")), strict=True):
+                if held_rows and (of != shard or size + r[2] > BLOCK_IDS):
                     yield one()
                     size = 0
+                if of != shard:
+                    shard, block, first = of, 0, 0
                 held_rows.append(r)
                 size += r[2]
         if held_rows:
             yield one()
 
-    order = ("doc_id", "crc", "row", "at")
+    order = ("shard", "doc_id", "crc", "row", "at")
     arrow_rows(
-        pieces.repartitionByRange(*order).sortWithinPartitions(*order),
+        pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order),
         "shard int, block int, first long, doc_id array<long>, at array<long>, n array<long>, "
         "doc_tokens array<long>, payload binary, marks binary",
         blocks,

@@ -23,7 +23,6 @@ CUTS = re.compile(
 )
 #: White space after anything else: no token lies across it.
 SURE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
-WHITE = re.compile(f"[{SPACE}]")
 STRETCH = 1 << 17
 KEPT_CHARS = 48
 
@@ -43,7 +42,7 @@ def stretches(text: str) -> Iterator[str]:
 class Kept:
     """Values of pieces in two generations: when the young one is full, the old one is dropped."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 500_000):
         self.most, self.young, self.old = most, {}, {}
 
     def values(self, pieces: list[str], find) -> list:
@@ -64,38 +63,15 @@ class Kept:
         return found
 
 
-class Irregular(Exception):
-    """A run of white space that a split at single blanks would cut."""
-
-
 class Read:
-    """Values of whole texts from values of their pieces.
-
-    ``find`` gives the values of new pieces, ``add`` joins values in order. Most texts have single
-    blanks, so words with what clings to them are looked up first; a new one is cut into pieces,
-    and only pieces that are new as well go to ``find``. A text with other blanks is cut as a whole.
-    """
+    """Values of whole texts: ``find`` gives the values of new pieces, ``add`` joins values in order."""
 
     def __init__(self, find: Callable[[list[str]], list], add: Callable[[list], object]):
         self.find, self.add = find, add
-        self.pieces, self.parts = Kept(), Kept()
-
-    def _of_parts(self, new: list[str]) -> list:
-        if any(not p or WHITE.match(p[-1]) for p in new):
-            raise Irregular
-        cut = [CUTS.findall(" " + p) for p in new]
-        values = iter(self.pieces.values([x for c in cut for x in c], self.find))
-        return [self.add([next(values) for _ in c]) for c in cut]
+        self.pieces = Kept()
 
     def closed(self, text: str):
         """The value of a text that starts and ends at cuts."""
-        first, *rest = text.split(" ")
-        if rest and not (first and WHITE.match(first[-1])):
-            try:
-                values = self.parts.values(rest, self._of_parts)
-                return self.add(self.pieces.values(CUTS.findall(first), self.find) + values)
-            except Irregular:
-                pass
         return self.add(self.pieces.values(CUTS.findall(text), self.find))
 
     def __call__(self, text: str | None):
