@@ -167,12 +167,12 @@ def band_balls(bands: int, bits: int) -> F.Column:
 
 
 def _met(nodes: DataFrame, order: list[F.Column], bands: int, bits: int) -> DataFrame:
-    """(a, b): in each bucket every node with the first and with the one before it."""
+    """(a, b): in each bucket every node with the first. Large buckets of one class have few
+    different first nodes, so the pairs stay in proportion to the nodes."""
     w = Window.partitionBy("key").orderBy(*order)
     rows = nodes.withColumn("key", F.explode(band_balls(bands, bits))).select("key", "node", *(c for c in ("degree",) if c in nodes.columns))
-    seen = rows.select("node", F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("before")).where("before IS NOT NULL")
-    ends = F.explode(F.array_distinct(F.array("first", "before"))).alias("other")
-    return seen.select("node", ends).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    seen = rows.select("node", F.first("node").over(w).alias("first")).where("node <> first")
+    return seen.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
 
 
 def _jaccard_at_least(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -224,9 +224,9 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Two sketches meet if some band differs in at most two bits, found by balls of radius one. They
     are linked if the sketches agree beyond doubt, or the exact similarity of their shingle sets,
     compared wherever the sketches are within three standard deviations, is high enough. With the given bands a pair of similarity 0.8
-    meets with a probability of 0.91, one of 0.9 with 0.999. In a bucket each member is compared with the first
-    and the one before, first by number, then with those that have most links in front, so a
-    text that many are alike to is compared with all of them and no bucket lists its pairs.
+    meets with a probability of 0.91, one of 0.9 with 0.999. In a bucket each member is compared with the first,
+    by number in one pass, and by most links in a second, so a text that many are alike to is
+    compared with all of them and no bucket lists its pairs.
     Nulls, empty texts, repeated rows and empty tables behave as in near_duplicates.
     """
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
