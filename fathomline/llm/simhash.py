@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, pi, sqrt
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -119,11 +119,14 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
-# Similarity classes: fingerprints of more bits, so that texts far less alike still meet.
+# Similarity classes: exact, by the shingles that come first in one order of all shingles.
 
-SKETCH = 6
-#: Odd constants that make further hash values from one.
-MIXERS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) for k in range(SKETCH))
+#: One document in so many tells which shingles are common; their order decides the work and never the result.
+DRAWN = 32
+#: Places of the table of common shingles, of one byte each. Shingles that share a place share its level.
+LEVELS = 1 << 20
+#: Rounds that link bucket members to one member of another class before the pairs left are listed.
+ROUNDS = 3
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -132,47 +135,67 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(held)) if held else np.zeros(0, "<u8")
 
 
-def sketch(text: bytes | None, words: int = 5) -> list[int]:
-    """SKETCH fingerprints of 64 bits of the distinct shingles from independent hash functions, as signed numbers."""
-    distinct = shingle_set(text, words)
-    ones = np.zeros((SKETCH, 64), np.int64)
-    for at in range(0, len(distinct), SLICE):
-        h = distinct[at : at + SLICE]
-        for k, c in enumerate(MIXERS):
-            z = (h ^ np.uint64(c)) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            ones[k] += bit_counts(z ^ (z >> np.uint64(32)))
-    return np.array([majority(x, len(distinct)) for x in ones], "<u8").view("<i8").tolist()
+def _common_levels(raw: DataFrame, words: int) -> bytes:
+    """How common the shingles of each place are, as a power of two of the drawn documents that hold one."""
+    drawn = raw.where(F.pmod(F.xxhash64("text"), F.lit(DRAWN)) == 0)
 
+    def run(batches):
+        for b in batches:
+            yield {"keys": [shingle_set(t, words).view("<i8") for t in b["text"]]}
 
-def differing_bits(similarity: float, deviations: float) -> int:
-    """Differing sketch bits that the Jaccard similarity of two shingle sets gives on average, moved by
-    standard deviations."""
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    return int(64 * SKETCH * share + deviations * sqrt(64 * SKETCH * share * (1 - share)))
+    counts = arrow_rows(drawn.select("text"), "keys array<long>", run).select(F.explode("keys").alias("key")).groupBy("key").count()
+    level = F.floor(F.log2("count")).cast("int")
+    places = counts.where("count > 2").groupBy(F.expr(f"key & {LEVELS - 1}L").alias("place")).agg(F.max(level).alias("level"))
+    found = np.zeros(LEVELS, np.uint8)
+    for r in places.toLocalIterator():  # at most LEVELS rows
+        found[r.place] = r.level
+    return found.tobytes()
 
 
-def band_balls(bands: int, bits: int) -> F.Column:
-    """Keys of all values within one bit of each band; bands are cut from the sketch in order.
+def prefix(held: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets that are alike enough have one of them in common."""
+    n = len(held)
+    order = np.lexsort((held, levels[(held & np.uint64(LEVELS - 1)).astype(np.int64)]))
+    return held[order[: n - _least_common(n, similarity) + 1]] if n else held
 
-    A 64-bit number gives 64 // bits bands.
-    """
-    each = 64 // bits
-    if bands > SKETCH * each:
-        raise ValueError("the sketch has too few bits for these bands")
-    low = (1 << bits) - 1
-    cut = ", ".join(f"(shiftrightunsigned(f{i // each}, {i % each * bits}) & {low}L) | {i << bits}L" for i in range(bands))
-    flips = ", ".join(f"{0 if b is None else 1 << b}L" for b in (None, *range(bits)))
-    return F.expr(f"flatten(transform(array({cut}), v -> transform(array({flips}), m -> v ^ m)))")
+
+def _least_common(n: int, similarity: float) -> int:
+    """Shingles that a set of n has in common with any set alike enough."""
+    return ceil(similarity * n - 1e-9)
+
+
+def _top(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each node the partner of most shared buckets, if these are a twentieth of its shingles."""
+    held = pairs.groupBy("node", "other").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("20 * c >= n")
+    best = held.groupBy("node").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _met(nodes: DataFrame, order: list[F.Column], bands: int, bits: int) -> DataFrame:
-    """(a, b): in each bucket every node with the first. Large buckets of one class have few
-    different first nodes, so the pairs stay in proportion to the nodes."""
-    w = Window.partitionBy("key").orderBy(*order)
-    rows = nodes.withColumn("key", F.explode(band_balls(bands, bits))).select("key", "node", *(c for c in ("degree",) if c in nodes.columns))
-    seen = rows.select("node", F.first("node").over(w).alias("first")).where("node <> first")
-    return seen.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+def _apart(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the buckets that hold several classes, with a node of another class of the bucket."""
+    if labels is not None:
+        shared = shared.join(labels.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").withColumn("label", F.coalesce("label", "node")).drop("j")
+    else:
+        shared = shared.withColumn("label", F.col("node"))
+    w = Window.partitionBy("key")
+    at = F.struct("label", "node")
+    ends = shared.withColumn("low", F.min(at).over(w)).withColumn("high", F.max(at).over(w)).where("low.label <> high.label")
+    other = F.expr("if(label <> low.label, low.node, high.node)")
+    return ends.select("key", "node", "n", "label", other.alias("other"))
+
+
+def _possible(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of different classes that can be alike by the number of first shingles in common.
+
+    The set whose first shingles end first in the order lacks in the other all of them that are not in
+    common, so too few in common leave too few for the similarity.
+    """
+    a = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    b = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    fits = F.expr(f"a < b AND la <> lb AND na >= {similarity!r}D * nb - 1e-6D AND nb >= {similarity!r}D * na - 1e-6D")
+    met = a.join(b, "key").where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    both = f"{similarity / (1 + similarity)!r}D * (na + nb)"
+    return met.where(f"c >= {both} - ceil({similarity!r}D * greatest(na, nb) - 1e-9D) + 1 - 1e-6D").select("a", "b")
 
 
 def _jaccard_at_least(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -205,50 +228,51 @@ def _jaccard_at_least(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words
     return arrow_rows(both, "a long, b long", compared)
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs that are alike: by their sketches where these leave no doubt, else by their shingles."""
-    fs = [f"f{k}" for k in range(SKETCH)]
-    a = nodes.select(F.col("node").alias("a"), *(F.col(f).alias(f"x{f}") for f in fs))
-    b = nodes.select(F.col("node").alias("b"), *(F.col(f).alias(f"y{f}") for f in fs))
-    differing = F.expr(" + ".join(f"bit_count(x{f} ^ y{f})" for f in fs))
-    told = pairs.join(a, "a").join(b, "b").select("a", "b", differing.alias("d"))
-    near = written(told.where(F.col("d") <= differing_bits(similarity, 3)), "near")
-    sure = F.col("d") <= differing_bits(similarity, -3)
-    checked = _jaccard_at_least(near.where(~sure).select("a", "b"), docs, nodes, words, similarity)
-    return near.where(sure).select("a", "b").unionAll(checked)
-
-
-def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 12, bits: int = 28) -> DataFrame:
-    """(doc_id, component_id): classes of texts whose word shingles are about ``similarity`` alike.
-
-    Two sketches meet if some band differs in at most two bits, found by balls of radius one. They
-    are linked if the sketches agree beyond doubt, or the exact similarity of their shingle sets,
-    compared wherever the sketches are within three standard deviations, is high enough. With the given bands a pair of similarity 0.8
-    meets with a probability of 0.91, one of 0.9 with 0.999. In a bucket each member is compared with the first,
-    by number in one pass, and by most links in a second, so a text that many are alike to is
-    compared with all of them and no bucket lists its pairs.
+def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): classes of texts linked by a Jaccard similarity of their word shingles of ``similarity`` or more.
+
+    Exact up to equal 64-bit hashes: sets that are alike enough have one of their first shingles in common, in
+    any one order of all shingles. Here rare ones come first, so a passage that many documents hold
+    is reached only by documents that hold little else. A bucket's members are first linked to one
+    member of another class, some rounds long; then all pairs of a bucket that are still in
+    different classes and can be alike by their counts are compared, so none is left out.
     Nulls, empty texts, repeated rows and empty tables behave as in near_duplicates.
     """
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    names = [f"f{k}" for k in range(SKETCH)]
+    levels = _common_levels(raw, words)
 
     def run(batches):
+        import xxhash
+
+        table = np.frombuffer(levels, np.uint8)
         for b in batches:
-            found = [sketch(t, words) for t in b["text"]]
-            yield {"doc_id": b["doc_id"]} | {n: [x[k] for x in found] for k, n in enumerate(names)}
-
-    drawn = arrow_rows(raw, "doc_id long, " + ", ".join(f"{n} long" for n in names), run)
-    marked = written(drawn.withColumn("node", F.xxhash64(*names)), "sketches")
-    nodes = written(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least_id")), "nodes")
-    pairs = written(_met(nodes, [F.col("node")], bands, bits), "pairs")
-    linked = written(_checked(pairs, docs, nodes, words, similarity), "links")
-    ends = linked.select(F.col("a").alias("n")).unionAll(linked.select(F.col("b").alias("n")))
-    degrees = ends.groupBy("n").agg(F.count("*").alias("degree"))
-    open_nodes = pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n"))).distinct()
-    again = nodes.join(open_nodes, nodes.node == open_nodes.n, "left_semi").join(degrees, F.col("node") == F.col("n"), "left").select(
-        "node", *names, F.coalesce("degree", F.lit(0)).alias("degree"))
-    more = _checked(_met(again, [F.desc("degree"), F.col("node")], bands, bits).join(pairs, ["a", "b"], "left_anti"), docs, nodes, words, similarity)
-    joined = components(linked.unionAll(more).distinct())
+            held = [shingle_set(t, words) for t in b["text"]]
+            yield {
+                "doc_id": b["doc_id"], "n": [len(h) for h in held],
+                "node": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in held], "<u8").view("<i8"),
+                "keys": [prefix(h, table, similarity).view("<i8") for h in held],
+            }
+
+    marked = written(arrow_rows(raw, "doc_id long, n long, node long, keys array<long>", run), "prefixes")
+    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    met = Window.partitionBy("key")
+    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = written(rows.withColumn("low", F.min("node").over(met)).withColumn("high", F.max("node").over(met)).where("low <> high").select("key", "node", "n"), "buckets")
+    nodes = nodes.select("node", "least_id")
+    labels = linked = tried = None
+    for _ in range(ROUNDS):
+        pairs = _top(_apart(shared, labels))
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(_jaccard_at_least(pairs, docs, nodes, words, similarity), "links")
+        if not found.limit(1).count():
+            break
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        linked = found if linked is None else linked.unionAll(found)
+        labels = components(linked)
+    left = _possible(written(_apart(shared, labels), "apart"), similarity)
+    left = written(left if tried is None else left.join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = _jaccard_at_least(left, docs, nodes, words, similarity)
+    joined = components(found if linked is None else linked.unionAll(found))
     rooted = nodes.join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select(
         F.col("node").alias("of"), F.coalesce("label", "node").alias("root"), "least_id")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
