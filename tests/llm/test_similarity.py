@@ -19,6 +19,15 @@ def classes(rows):
     return root
 
 
+def short(rnd):
+    """Pairs of exactly 4 against 5, 12 against 15 and 20 against 25 shingles."""
+    texts = []
+    for n in (8, 16, 24) * 40:
+        w = [f"v{rnd.randint(0, 99999)}" for _ in range(n)]
+        texts += [" ".join(w), " ".join(w + [f"e{rnd.randint(0, 99999)}" for _ in range((n - 4) // 4)])]
+    return texts
+
+
 def crowded(rnd):
     """Documents with one long passage, alike by 0.5 to 0.79, and near copies of some of them."""
     fresh = lambda n: [f"v{rnd.randint(0, 99999)}" for _ in range(n)]
@@ -32,7 +41,7 @@ def crowded(rnd):
     return texts
 
 
-@pytest.mark.parametrize("made", [crowded])
+@pytest.mark.parametrize("made", [short, crowded])
 def test_classes_lose_no_link(spark, made):
     rows = list(enumerate(made(random.Random(3))))
     random.Random(4).shuffle(rows)
