@@ -115,6 +115,17 @@ def url_inventory(t: Tables) -> DataFrame:
     return records.url_inventory([(t.pages, "url", "pages"), (t.pages.where("page_id % 3 = 0"), "url", "mirror")])
 
 
+@query("""
+WITH u AS (SELECT trim(url) AS url, 'pages' AS label FROM pages UNION ALL
+  SELECT trim(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1))), 'links' FROM pages)
+SELECT url, string_agg(DISTINCT label, ', ' ORDER BY label) AS used_in, count(*) AS n FROM u WHERE url <> '' GROUP BY ALL
+""")
+def url_inventory_all(t: Tables) -> DataFrame:
+    """Urls of all pages and of the links in them."""
+    links = t.pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("url"))
+    return records.url_inventory([(t.pages, "url", "pages"), (links, "url", "links")])
+
+
 @query("""
 SELECT o_orderkey, c AS "constraint" FROM (SELECT o_orderkey, unnest(list_filter([
   CASE WHEN o_totalprice < 50000 THEN 'price too low' END, CASE WHEN o_orderstatus = 'P' AND NOT o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'pending needs priority' END], lambda x: x IS NOT NULL)) AS c FROM orders)

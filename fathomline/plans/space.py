@@ -33,14 +33,29 @@ SELECT c_custkey, s_suppkey FROM p JOIN g ON lng > x AND lng < x + 8 AND lat > y
   AND NOT (lng > x + 1 AND lng < x + 2 AND lat > y + 1 AND lat < y + 2)
 """)
 def point_in_polygon(t: Tables) -> DataFrame:
+    return _in_polygons(t, t.supplier.where("s_suppkey < 60"))
+
+
+def _in_polygons(t: Tables, suppliers: DataFrame) -> DataFrame:
     points = t.customer.selectExpr("c_custkey", *_PLACE.format(k="c_custkey").replace("e0", "D").split(", "))
-    corner = t.supplier.where("s_suppkey < 60").selectExpr("s_suppkey", "CAST(s_nationkey * 12 - 160 AS DOUBLE) AS x", "CAST(s_suppkey % 9 * 12 - 55 AS DOUBLE) AS y")
+    corner = suppliers.selectExpr("s_suppkey", "CAST(s_nationkey * 12 - 160 AS DOUBLE) AS x", "CAST(s_suppkey % 9 * 12 - 55 AS DOUBLE) AS y")
     at = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     outer, hole = F.array(at(0, 0), at(8, 0), at(0, 8)), F.array(at(1, 1), at(2, 1), at(2, 2), at(1, 2))
     polygons = corner.select("s_suppkey", F.array(outer, hole).alias("rings"))
     return polygon_join(points, polygons, "lng", "lat", cell=5.0).select("c_custkey", "s_suppkey")
 
 
+@query(f"""
+WITH p AS (SELECT c_custkey, {_PLACE.format(k='c_custkey')} FROM customer),
+g AS (SELECT s_suppkey, s_nationkey * 12 - 160 AS x, s_suppkey % 9 * 12 - 55 AS y FROM supplier)
+SELECT c_custkey, s_suppkey FROM p JOIN g ON lng > x AND lng < x + 8 AND lat > y AND lat < y + 8 - (lng - x)
+  AND NOT (lng > x + 1 AND lng < x + 2 AND lat > y + 1 AND lat < y + 2)
+""")
+def point_in_polygon_all(t: Tables) -> DataFrame:
+    """point_in_polygon with a polygon of every supplier."""
+    return _in_polygons(t, t.supplier)
+
+
 @query(f"SELECT c_custkey, round({_KM.format(a='lat', b='lng', c='0.0', d='0.0')}, 4) AS km FROM (SELECT c_custkey, {_PLACE.format(k='c_custkey')} FROM customer)")
 def haversine_origin(t: Tables) -> DataFrame:
     points = t.customer.selectExpr("c_custkey", *_PLACE.format(k="c_custkey").replace("e0", "D").split(", "))

@@ -130,6 +130,19 @@ def qa_orphans(t: Tables) -> DataFrame:
     return quality.report(t.spark, rules).drop("passed")
 
 
+@query("""
+SELECT 'order without customer' AS rule, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS violations
+UNION ALL SELECT 'line without part', (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
+""")
+def qa_orphans_all(t: Tables) -> DataFrame:
+    """qa_orphans against all customers."""
+    rules = [
+        quality.Rule("order without customer", lambda: quality.orphans(t.orders, "o_custkey", t.customer, "c_custkey")),
+        quality.Rule("line without part", lambda: quality.orphans(t.lineitem, "l_partkey", t.part, "p_partkey")),
+    ]
+    return quality.report(t.spark, rules).drop("passed")
+
+
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL HAVING count(*) > 1")
 def qa_multi_primary(t: Tables) -> DataFrame:
     return quality.several(t.lineitem.withColumn("p", F.col("l_returnflag") == "R"), "l_orderkey", "p")

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from fathomline.plans import edges
+from fathomline.plans import edges, linkage, space, upserts
 from fathomline.plans.define import Tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -43,3 +43,17 @@ def test_components_of_the_given_lines(spark):
     t = Tables(spark, SF)
     rows = [tuple(r) for r in t.lineitem.select("l_orderkey", "l_partkey").collect()]
     assert {r.node: r.component for r in edges.dedup_components_all(t).collect()} == closure(rows)
+
+
+def test_all_suppliers_and_customers_count(spark, table):
+    at = lambda k: ((k * 91 % 3400) / 10 - 170.05 + 160, (k * 37 % 1200) / 10 - 60.05 + 55)  # noqa: E731  beside the triangle's corner
+    key = next(k for k in range(1, 30000) if at(k)[0] > 2.2 and at(k)[1] > 0.2 and sum(at(k)) < 7.8)
+    t = Fixture(spark=spark, customer=table([(key,), (2000,)], "c_custkey long"), supplier=table([(90, 0)], "s_suppkey long, s_nationkey long"),
+                orders=table([(1, 2000), (2, 3000)], "o_orderkey long, o_custkey long"), lineitem=table([(1, 1)], "l_orderkey long, l_partkey long"), part=table([(1,)], "p_partkey long"))
+    assert (key, 90) in {tuple(r) for r in space.point_in_polygon_all(t).collect()}
+    assert {r.rule: r.violations for r in upserts.qa_orphans_all(t).collect()} == {"order without customer": 1, "line without part": 0}
+
+
+def test_urls_of_links(table):
+    t = Fixture(pages=table([(1, "http://a.org/", '<a href="http://b.org/">b</a>'), (2, "http://b.org/", None)], "page_id long, url string, html string"))
+    assert {r.url: (r.used_in, r.n) for r in linkage.url_inventory_all(t).collect()} == {"http://a.org/": ("pages", 1), "http://b.org/": ("links, pages", 2)}
