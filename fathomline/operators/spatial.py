@@ -53,6 +53,35 @@ def nearest(points: DataFrame, targets: DataFrame, point: str, reach: int = 3) -
     return best.select(point, "b.target", "b.km")
 
 
+def nearest_of_all(points: DataFrame, targets: DataFrame, point: str, reaches: tuple[int, ...] = (3, 12, 45)) -> DataFrame:
+    """(point, target, km): the nearest of all targets; ties go to the smaller id.
+
+    The bands around a point widen, across 180 degrees too, only while a target outside them could be nearer; the last
+    step compares the points left with every target. Points without a place are left out, as targets are.
+    """
+    left = points.select(F.col(point), F.col("lat").alias("__lat"), F.col("lng").alias("__lng")).where("__lat IS NOT NULL AND __lng IS NOT NULL")
+    band = "CAST(pmod(floor({}), 360) AS INT)"
+    t = targets.select("target", F.col("lat").alias("__tlat"), F.col("lng").alias("__tlng"), F.expr(band.format("lng")).alias("__band")).where("__tlat IS NOT NULL AND __tlng IS NOT NULL")
+    km = haversine_km("__lat", "__lng", "__tlat", "__tlng")
+    keep, done = [point, "__lat", "__lng"], None
+    for reach in (*reaches, None):
+        if reach is None:
+            near = left.crossJoin(t)
+        else:
+            around = F.explode(F.expr(f"transform(sequence(-{reach}, {reach}), i -> CAST(pmod(floor(__lng) + i, 360) AS INT))"))
+            near = left.withColumn("__band", around).join(t, "__band", "left")
+        best = near.withColumn("km", km).groupBy(*keep).agg(F.min(F.when(F.col("km").isNotNull(), F.struct("km", "target"))).alias("b"))
+        if reach is not None:
+            # no target outside is nearer than the meridian so many degrees away
+            sure = F.lit(EARTH_KM) * F.asin(F.cos(F.radians("__lat")) * F.sin(F.radians(F.lit(float(reach)))))
+            settled = F.coalesce(F.col("b.km") < sure - 1e-6, F.lit(False))
+            left = best.where(~settled).select(*keep)
+            best = best.where(settled)
+        best = best.select(point, "b.target", "b.km")
+        done = best if done is None else done.unionAll(best)
+    return done
+
+
 def crosses_antimeridian(ring: str) -> Column:
     """Whether two neighbouring vertices lie over 180 degrees of longitude apart."""
     return F.expr(f"exists(sequence(1, greatest(size({ring}) - 1, 1)), i -> i < size({ring}) AND abs({ring}[i].x - {ring}[i - 1].x) > 180)")

@@ -1,9 +1,12 @@
 """Queries over whole tables beside brute force."""
 
+import math
 import os
+import random
 
 import pytest
 
+from fathomline.operators.spatial import nearest_of_all
 from fathomline.plans import edges, linkage, space, upserts
 from fathomline.plans.define import Tables
 
@@ -57,3 +60,13 @@ def test_all_suppliers_and_customers_count(spark, table):
 def test_urls_of_links(table):
     t = Fixture(pages=table([(1, "http://a.org/", '<a href="http://b.org/">b</a>'), (2, "http://b.org/", None)], "page_id long, url string, html string"))
     assert {r.url: (r.used_in, r.n) for r in linkage.url_inventory_all(t).collect()} == {"http://a.org/": ("pages", 1), "http://b.org/": ("links, pages", 2)}
+
+
+def test_nearest_of_all_targets(table):
+    rnd = random.Random(2)
+    place = lambda: (rnd.uniform(-89, 89), rnd.uniform(-180, 180))
+    p, t = [(i, *place()) for i in range(80)] + [(80, 10.0, 179.9)], [(i, *place()) for i in range(40)] + [(40, 10.0, -179.9)]
+    cut = lambda a, b: sum((x - y) ** 2 for x, y in zip(ball(*a), ball(*b), strict=True))
+    ball = lambda lat, lng: (math.cos(math.radians(lat)) * math.cos(math.radians(lng)), math.cos(math.radians(lat)) * math.sin(math.radians(lng)), math.sin(math.radians(lat)))
+    got = nearest_of_all(table(p, "k int, lat double, lng double"), table(t, "target int, lat double, lng double"), "k").collect()
+    assert {r.k: r.target for r in got} == {k: min(t, key=lambda y: cut(x, y[1:]))[0] for k, *x in p}
