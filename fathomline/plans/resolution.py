@@ -122,7 +122,7 @@ def keys_and_dates(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_names(t: Tables) -> DataFrame:
-    """Part names that agree as token sets; checked against all pairs in the tests."""
+    """Part names that agree as token sets, among pairs that share a token; others are lost."""
     a = t.part.select(F.col("p_name").alias("left_name")).distinct()
     b = t.part.select(F.concat(F.col("p_name"), F.lit(" mk2")).alias("right_name")).distinct()
     return fuzzy_join(a, b, "left_name", "right_name", 80.0).select("left_name", "right_name", F.round("score", 6).alias("score"))
