@@ -35,9 +35,8 @@ def crowded(rnd):
     for k in range(60):
         w = passage + fresh(60)
         texts.append(" ".join(w))
-        if k % 3 == 0:
-            at = rnd.randrange(300, 355)
-            texts.append(" ".join(w[:at] + fresh(3) + w[at:] + fresh(20)))
+        at = rnd.randrange(300, 355)
+        texts.append(" ".join(w[:at] + fresh(3) + w[at:] + fresh(60)))
     return texts
 
 
