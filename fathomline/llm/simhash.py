@@ -119,14 +119,16 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
-# Similarity classes: exact, by the shingles that come first in one order of all shingles.
+# Similarity classes: fingerprints that meet in a ball first, then, exactly, by first shingles.
 
 #: One document in so many tells which shingles are common; their order decides the work and never the result.
 DRAWN = 32
 #: Places of the table of common shingles, of one byte each. Shingles that share a place share its level.
 LEVELS = 1 << 20
 #: Rounds that link bucket members to one member of another class before the pairs left are listed.
-ROUNDS = 3
+ROUNDS = 4
+#: Words of 64 bits in which each shingle of a set marks one bit.
+MARKS = [f"m{i}" for i in range(16)]
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -159,60 +161,103 @@ def prefix(held: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarra
     return held[order[: n - _least_common(n, similarity) + 1]] if n else held
 
 
+def marks(held: np.ndarray) -> list[int]:
+    """A bit for each shingle, in signed 64-bit words: a bit that another set lacks is a shingle that it lacks."""
+    bits = np.zeros(64 * len(MARKS), np.uint8)
+    bits[((held >> np.uint64(40)) % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
 def _least_common(n: int, similarity: float) -> int:
     """Shingles that a set of n has in common with any set alike enough."""
     return ceil(similarity * n - 1e-9)
 
 
-def _top(pairs: DataFrame) -> DataFrame:
-    """(a, b): for each node the partner of most shared buckets, if these are a twentieth of its shingles."""
-    held = pairs.groupBy("node", "other").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("20 * c >= n")
-    best = held.groupBy("node").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
-    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _buckets(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, at, weight): first shingles that several nodes hold, and their place in the order of each.
+
+    Of two sets alike enough, the smaller has its first common shingle among a smaller part of its first
+    ones; a bucket where no node has the shingle so early joins nothing. ``weight`` sums the sizes of a node's buckets. A text from which others were made holds only
+    shingles that they hold as well, so it weighs more than its copies.
+    """
+    rows = nodes.select("node", "n", *MARKS, F.posexplode("keys").alias("at", "key"))
+    early = F.expr(f"min(at - {(1 - similarity) / (1 + similarity)!r}D * n) <= 1e-6D")
+    held = rows.select("key", "n", "at").groupBy("key").agg(F.count("*").alias("size"), early.alias("early")).where("size > 1 AND early").select(F.col("key").alias("k"), "size")
+    shared = written(rows.join(held, F.col("key") == F.col("k")).select("key", "node", "n", "at", "size", *MARKS), "shared")
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight")).withColumnRenamed("node", "m")
+    return written(shared.join(weights, F.col("node") == F.col("m")).select("key", "node", "n", "at", "weight", *MARKS), "buckets")
+
+
+def _side(rows: DataFrame, end: str) -> DataFrame:
+    """The rows as one end of a pair: node, n, at, label and marks get the end's name."""
+    named = {"node": end, "n": f"n{end}", "at": f"at_{end}", "label": f"l{end}"} | {m: f"{end}_{m}" for m in MARKS}
+    return rows.select("key", *(F.col(c).alias(n) for c, n in named.items()))
+
+
+def _fits(similarity: float) -> F.Column:
+    """Whether ends a and b can be alike if their places are those of the first shingle in common: what stands
+    before them is not in common, nor is what marks a bit that the other lacks."""
+    lacks = lambda x, y: " + ".join(f"bit_count({x}_{m} & ~{y}_{m})" for m in MARKS)
+    common = f"({similarity / (1 + similarity)!r}D * (na + nb) - 1e-6D)"
+    return F.expr(
+        f"a <> b AND la <> lb AND least(na - at_a, nb - at_b) >= {common} AND na - ({lacks('a', 'b')}) >= {common} AND nb - ({lacks('b', 'a')}) >= {common}"
+    )
 
 
-def _apart(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the buckets that hold several classes, with a node of another class of the bucket."""
-    if labels is not None:
-        shared = shared.join(labels.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").withColumn("label", F.coalesce("label", "node")).drop("j")
-    else:
-        shared = shared.withColumn("label", F.col("node"))
-    w = Window.partitionBy("key")
-    at = F.struct("label", "node")
-    ends = shared.withColumn("low", F.min(at).over(w)).withColumn("high", F.max(at).over(w)).where("low.label <> high.label")
-    other = F.expr("if(label <> low.label, low.node, high.node)")
-    return ends.select("key", "node", "n", "label", other.alias("other"))
+def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of buckets with the class of each node, where a bucket holds several classes."""
+    if labels is None:
+        return shared.withColumn("label", F.col("node"))
+    of = labels.withColumnRenamed("node", "j")
+    rows = shared.join(of, F.col("node") == F.col("j"), "left").withColumn("label", F.coalesce("label", "node")).drop("j")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return rows.join(mixed.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
+
+
+def _to_first(rows: DataFrame, order: F.Column, tried: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each node with one node of another class, the first of a bucket, that it meets in most buckets."""
+    hub = F.max(F.struct(order.alias("order"), "node", "label", "n", "at", *MARKS)).alias("hub")
+    hubs = _side(rows.groupBy("key").agg(hub).select("key", "hub.*"), "b")
+    met = _side(rows, "a").join(hubs, "key").where(_fits(similarity)).groupBy("a", "b").agg(F.count("*").alias("c"))
+    pairs = met.select(F.col("a").alias("node"), "c", F.col("b").alias("other"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    best = pairs.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("c", "other")).alias("p"))
+    return best.select("p.a", "p.b").distinct()
 
 
 def _possible(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of different classes that can be alike by the number of first shingles in common.
+    """(a, b): all pairs of different classes that can be alike.
 
-    The set whose first shingles end first in the order lacks in the other all of them that are not in
-    common, so too few in common leave too few for the similarity.
+    With rare shingles first, a crowd that shares a passage meets late, and so makes no pairs.
     """
-    a = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    fits = F.expr(f"a < b AND la <> lb AND na >= {similarity!r}D * nb - 1e-6D AND nb >= {similarity!r}D * na - 1e-6D")
-    met = a.join(b, "key").where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    both = f"{similarity / (1 + similarity)!r}D * (na + nb)"
-    return met.where(f"c >= {both} - ceil({similarity!r}D * greatest(na, nb) - 1e-9D) + 1 - 1e-6D").select("a", "b")
-
-
-def _jaccard_at_least(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs of nodes whose texts' shingle sets are alike enough, by the sets themselves."""
-    ends = pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n"))).distinct()
-    wanted = written(nodes.join(ends, F.col("node") == F.col("n"), "left_semi").select("node", "least_id"), "texts")
+    return _side(rows, "a").join(_side(rows, "b"), "key").where("a < b").where(_fits(similarity)).select("a", "b").distinct()
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(n, held): the shingle sets of the wanted nodes (node, least_id), each computed once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("binary").alias("text"))
-    given = texts.join(small(wanted), F.col("d") == F.col("least_id")).select("node", "least_id", "text", "d")
+    given = texts.join(wanted, F.col("d").eqNullSafe(F.col("least_id"))).select("node", "text")
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
-            yield {"n": b["node"], "held": [shingle_set(t, words).tobytes() for t in b["text"]]}
+            held = [(n, shingle_set(t, words)) for n, t in zip(b["node"], b["text"], strict=True)]
+            own = [(n, h.tobytes()) for n, h in held if node_of(h) == n]  # a repeated id may bring other texts
+            yield {"n": [n for n, _ in own], "held": [h for _, h in own]}
+
+    return written(arrow_rows(given, "n long, held binary", run).dropDuplicates(["n"]), "sets")
+
+
+def node_of(held: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    import xxhash
 
-    of = written(arrow_rows(given.select("node", "text"), "n long, held binary", sets), "sets").groupBy("n").agg(F.min("held").alias("held"))
+    return int(np.array([xxhash.xxh64_intdigest(held.tobytes())], "<u8").view("<i8")[0])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of nodes whose shingle sets are alike enough, by the sets themselves."""
     both = (
-        pairs.join(of.withColumnRenamed("held", "x"), F.col("a") == F.col("n")).select("a", "b", "x")
-        .join(of.withColumnRenamed("held", "y"), F.col("b") == F.col("n")).select("a", "b", "x", "y")
+        pairs.join(sets.withColumnRenamed("held", "x"), F.col("a") == F.col("n")).select("a", "b", "x")
+        .join(sets.withColumnRenamed("held", "y"), F.col("b") == F.col("n")).select("a", "b", "x", "y")
     )
 
     def compared(batches):
@@ -228,51 +273,60 @@ def _jaccard_at_least(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words
     return arrow_rows(both, "a long, b long", compared)
 
 
-def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, component_id): classes of texts linked by a Jaccard similarity of their word shingles of ``similarity`` or more.
 
-    Exact up to equal 64-bit hashes: sets that are alike enough have one of their first shingles in common, in
-    any one order of all shingles. Here rare ones come first, so a passage that many documents hold
-    is reached only by documents that hold little else. A bucket's members are first linked to one
-    member of another class, some rounds long; then all pairs of a bucket that are still in
-    different classes and can be alike by their counts are compared, so none is left out.
+    Exact up to equal 64-bit hashes, in three steps over distinct shingle sets. (1) SimHash
+    fingerprints meet in balls of half the radius; colliding pairs are checked by their sets. A
+    similarity of 0.8 is about 10 of 64 bits, too far for any ball that can be emitted, so (2) nodes also meet
+    on their first shingles in one order of all shingles, rare ones first: sets that are alike
+    enough have one of these in common. Each node is compared with the heaviest of a bucket, then with others drawn
+    in further rounds; a crowd around one text so folds into a class with a few pairs
+    for each member. (3) All pairs of a bucket that are still in different classes and can be alike by their
+    counts are compared, so none is left out.
     Nulls, empty texts, repeated rows and empty tables behave as in near_duplicates.
     """
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     levels = _common_levels(raw, words)
 
     def run(batches):
-        import xxhash
-
         table = np.frombuffer(levels, np.uint8)
         for b in batches:
             held = [shingle_set(t, words) for t in b["text"]]
             yield {
-                "doc_id": b["doc_id"], "n": [len(h) for h in held],
-                "node": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in held], "<u8").view("<i8"),
+                "doc_id": b["doc_id"], "n": [len(h) for h in held], "node": [node_of(h) for h in held],
+                "fp": [int(np.int64(np.uint64(majority(bit_counts(h), len(h))).view(np.int64))) for h in held],
                 "keys": [prefix(h, table, similarity).view("<i8") for h in held],
-            }
-
-    marked = written(arrow_rows(raw, "doc_id long, n long, node long, keys array<long>", run), "prefixes")
-    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    met = Window.partitionBy("key")
-    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = written(rows.withColumn("low", F.min("node").over(met)).withColumn("high", F.max("node").over(met)).where("low <> high").select("key", "node", "n"), "buckets")
+            } | dict(zip(MARKS, map(list, zip(*map(marks, held), strict=True)), strict=True))
+
+    columns = "doc_id long, n long, node long, fp long, keys array<long>" + "".join(f", {m} long" for m in MARKS)
+    marked = written(arrow_rows(raw, columns, run), "prefixes")
+    nodes = written(marked.groupBy("node").agg(
+        F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"),
+        *(F.first(m).alias(m) for m in MARKS)), "nodes")
+    shared = _buckets(nodes, similarity)
+    sample = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    ball_pairs = written(links(nodes.select("fp").distinct(), radius).join(
+        sample.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
+        sample.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "balls")
+    ends = shared.select("node").unionAll(ball_pairs.select("a")).unionAll(ball_pairs.select("b")).distinct().withColumnRenamed("node", "e")
+    sets = _sets(docs, nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select("node", "least_id"), words)
     nodes = nodes.select("node", "least_id")
-    labels = linked = tried = None
-    for _ in range(ROUNDS):
-        pairs = _top(_apart(shared, labels))
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = written(_jaccard_at_least(pairs, docs, nodes, words, similarity), "links")
+    linked = written(_alike(ball_pairs, sets, similarity), "links")
+    tried, labels = ball_pairs, components(linked)
+    for turn in range(ROUNDS):
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("weight")
+        pairs = written(_to_first(_labelled(shared, labels), order, tried, similarity), "pairs")
+        found = written(_alike(pairs, sets, similarity), "links")
+        tried = tried.unionAll(pairs)
         if not found.limit(1).count():
             break
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        linked = found if linked is None else linked.unionAll(found)
+        linked = linked.unionAll(found)
         labels = components(linked)
-    left = _possible(written(_apart(shared, labels), "apart"), similarity)
-    left = written(left if tried is None else left.join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = _jaccard_at_least(left, docs, nodes, words, similarity)
-    joined = components(found if linked is None else linked.unionAll(found))
+    left = _possible(written(_labelled(shared, labels), "apart"), similarity)
+    found = written(_alike(written(left.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, similarity), "links")
+    joined = components(linked.unionAll(found))
     rooted = nodes.join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select(
         F.col("node").alias("of"), F.coalesce("label", "node").alias("root"), "least_id")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
