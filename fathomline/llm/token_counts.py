@@ -181,7 +181,7 @@ def token_counts(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int =
         path = vocabulary(vocab)
         count = _OPEN.get(path) or _OPEN.setdefault(path, Transducer(path))
         for b in batches:
-            yield {"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": list(map(count, b["text"]))}
+            yield {"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": count.all(b["text"])}
 
     rows = docs.select(
         F.col("doc_id").cast("long"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")

@@ -60,9 +60,8 @@ class Code:
         step = np.int64(1) << (self.width - self.lengths)
         self.first = np.concatenate([[0], np.cumsum(step)[:-1]]).astype(np.int64) if len(ids) else step
         top = int(self.ids.max(initial=0)) + 1
-        kind = np.dtype(">u2" if self.width <= 16 else ">u4")
-        self.code_of, self.len_of = np.zeros(top, kind), np.zeros(top, np.int64)
-        self.code_of[self.ids] = self.first << (8 * kind.itemsize - self.width)
+        self.code_of, self.len_of = np.zeros(top, np.uint64), np.zeros(top, np.int64)
+        self.code_of[self.ids] = (self.first >> (self.width - self.lengths)).astype(np.uint64)
         self.len_of[self.ids] = self.lengths
         self.table_id = np.zeros(1 << self.width, np.int64)
         self.table_len = np.ones(1 << self.width, np.int64)
@@ -70,14 +69,32 @@ class Code:
         self.table_id[:used] = np.repeat(self.ids, step)
         self.table_len[:used] = np.repeat(self.lengths, step)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bits, and the bit offset of each lane."""
-        if not len(ids):
-            return b"", np.zeros(0, np.int64)
+    def encode(self, parts: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
+        """For each part its bits, from a byte's start on, and the bit offset of each lane.
+
+        All parts are laid into one string of bits at once: a code starts in some byte and reaches at
+        most four further ones, so five sums of disjoint bits give the bytes.
+        """
+        counts = np.array([len(p) for p in parts], np.int64)
+        if not counts.sum():
+            return [(b"", np.zeros(0, np.int64)) for _ in parts]
+        ids = np.concatenate(parts)
         n = self.len_of[ids]
-        bits = np.unpackbits(self.code_of[ids].view(np.uint8)).reshape(len(ids), -1)
-        packed = np.packbits(bits[np.arange(bits.shape[1]) < n[:, None]]).tobytes()
-        return packed, np.concatenate([[0], np.cumsum(n)[:-1]])[::LANE]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ends = np.cumsum(counts)
+        bits = before[ends] - before[ends - counts]
+        starts = np.concatenate([[0], np.cumsum(-(-bits // 8))])  # in bytes
+        at = before[:-1] + np.repeat(8 * starts[:-1] - before[ends - counts], counts)
+        codes = self.code_of[ids] << (40 - n - (at & 7)).astype(np.uint64)
+        held = np.zeros(int(starts[-1]) + 5)
+        for k in range((self.width + 14) // 8):
+            held += np.bincount((at >> 3) + k, (codes >> np.uint64(32 - 8 * k)) & np.uint64(255), len(held))
+        raw = held.astype(np.uint8).tobytes()
+        out = []
+        for k, (end, size) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
+            marks = at[end - size : end : LANE] - 8 * starts[k]
+            out.append((raw[starts[k] : starts[k + 1]], marks))
+        return out
 
     def decode(self, payload: bytes, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of all lanes in order; lane k starts at bit ``offsets[k]`` and has ``sizes[k]`` ids."""
@@ -121,7 +138,7 @@ def tokenised(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
         wide = encode.library.get_vocab_size() > 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids = [np.frombuffer(encode(t) + end, "<u4") for t in b["text"]]
+            ids = [np.frombuffer(x + end, "<u4") for x in encode.all(b["text"])]
             yield {
                 "doc_id": b["doc_id"], "row": b["row"], "n": [len(x) for x in ids],
                 "ids": [(x if wide else x.astype("<u2")).tobytes() for x in ids],
@@ -131,6 +148,16 @@ def tokenised(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
     return arrow_rows(rows, "doc_id long, row long, n long, ids binary", run)
 
 
+def _grouped(sizes: list[int], most: int):
+    """(at, how many): runs of neighbours that hold about ``most`` together."""
+    at = held = 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= most or k + 1 == len(sizes):
+            yield at, k + 1 - at
+            at, held = k + 1, 0
+
+
 def _numbers(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u4" if len(ids) == 4 * n else "<u2")
 
@@ -175,14 +202,18 @@ def write(docs: DataFrame, folder: str, vocab: str = "byte_bpe_50k.json", end_id
         code = Code(*zip(*held.value, strict=True)) if held.value else None
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("shard", "doc_id", "crc", "row", "at", "n", "doc_tokens", "payload", "marks")}
+            parts: list[np.ndarray] = []
             for shard, doc, row, n, raw in zip(b["shard"], b["doc_id"], b["row"], b["n"], b["ids"], strict=True):
                 ids = _numbers(raw, n)
                 crc = zlib.crc32(ids.astype("<u4").tobytes())
                 for at in range(0, n, BLOCK_IDS):
-                    part = ids[at : at + BLOCK_IDS]
-                    payload, marks = code.encode(part)
-                    for k, v in zip(out, (shard, doc, crc, row, at, len(part), n, payload, marks.astype("<u4").tobytes()), strict=True):
+                    parts.append(ids[at : at + BLOCK_IDS])
+                    for k, v in zip(out, (shard, doc, crc, row, at, len(parts[-1]), n), strict=False):
                         out[k].append(v)
+            for at, size in _grouped([len(p) for p in parts], 4 * BLOCK_IDS):
+                for payload, marks in code.encode(parts[at : at + size]):
+                    out["payload"].append(payload)
+                    out["marks"].append(marks.astype("<u4").tobytes())
             yield out
 
     pieces = arrow_rows(

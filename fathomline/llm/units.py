@@ -9,6 +9,7 @@ no white space and start with punctuation, so ids of the pieces in order are the
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -77,6 +78,49 @@ class Read:
     def __call__(self, text: str | None):
         return self.add([self.closed(x) for x in stretches(text or "")])
 
+    def all(self, texts: list[str | None]) -> list:
+        """The value of each text; the pieces of some hundred thousand characters are looked up at once.
+
+        Nothing made here refers to itself, so the collector of cycles rests meanwhile: it would walk through the
+        kept pieces again and again.
+        """
+        resumes = gc.isenabled()
+        gc.disable()
+        try:
+            return self._all(texts)
+        finally:
+            if resumes:
+                gc.enable()
+
+    def _all(self, texts: list[str | None]) -> list:
+        out: list = []
+        pieces: list[str] = []
+        ends: list[int] = []
+        size = 0
+
+        def look_up():
+            values, at = self.pieces.values(pieces, self.find), 0
+            for end in ends:
+                out.append(self.add(values[at:end]))
+                at = end
+            pieces.clear()
+            ends.clear()
+
+        for text in texts:
+            text = text or ""
+            if len(text) > STRETCH:
+                look_up()
+                out.append(self(text))
+                continue
+            if size + len(text) > 2 * STRETCH:
+                look_up()
+                size = 0
+            pieces += CUTS.findall(text)
+            ends.append(len(pieces))
+            size += len(text)
+        look_up()
+        return out
+
 
 class Encoder(Read):
     """Ids of a tokenizers file as little-endian unsigned 32-bit bytes, with a bounded memory of pieces."""
