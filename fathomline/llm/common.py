@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) does a new local folder take its place.
+    Only where that setting is absent in a local session (tests) does a new local folder take its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -30,12 +32,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and a lost
     executor costs no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
