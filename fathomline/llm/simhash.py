@@ -126,7 +126,7 @@ DRAWN = 32
 #: Places of the table of common shingles, of one byte each. Shingles that share a place share its level.
 LEVELS = 1 << 20
 #: Rounds that link bucket members to one member of another class before the pairs left are listed.
-ROUNDS = 4
+ROUNDS = 2
 #: Words of 64 bits in which each shingle of a set marks one bit.
 MARKS = [f"m{i}" for i in range(16)]
 
@@ -180,11 +180,17 @@ def _buckets(nodes: DataFrame, similarity: float) -> DataFrame:
     ones; a bucket where no node has the shingle so early joins nothing. ``weight`` sums the sizes of a node's buckets. A text from which others were made holds only
     shingles that they hold as well, so it weighs more than its copies.
     """
-    rows = nodes.select("node", "n", *MARKS, F.posexplode("keys").alias("at", "key"))
-    early = F.expr(f"min(at - {(1 - similarity) / (1 + similarity)!r}D * n) <= 1e-6D")
-    held = rows.select("key", "n", "at").groupBy("key").agg(F.count("*").alias("size"), early.alias("early")).where("size > 1 AND early").select(F.col("key").alias("k"), "size")
-    shared = written(rows.join(held, F.col("key") == F.col("k")).select("key", "node", "n", "at", "size", *MARKS), "shared")
-    weights = shared.groupBy("node").agg(F.sum("size").alias("weight")).withColumnRenamed("node", "m")
+    share = similarity / (1 + similarity)
+    rows = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    held = rows.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("both"), F.expr("min(n - at)").alias("after"),
+        F.expr(f"min(at - {(1 - similarity) / (1 + similarity)!r}D * n) <= 1e-6D").alias("early"),
+    ).where(f"size > 1 AND early AND (size > 2 OR after >= {share!r}D * both - 1e-6D)").select(F.col("key").alias("k"), "size", "least", "most")
+    # a row stays if some partner of the bucket's sizes would do
+    fits = F.expr(f"n - at >= {share!r}D * (n + greatest(least, {similarity!r}D * n)) - 1e-6D AND most >= {similarity!r}D * n - 1e-6D AND n >= {similarity!r}D * least - 1e-6D")
+    shared = written(rows.join(held, F.col("key") == F.col("k")).where(fits).select("key", "node", "n", "at", "size"), "shared")
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight")).join(
+        nodes.select(F.col("node").alias("m"), *MARKS), F.col("node") == F.col("m")).select("m", "weight", *MARKS)
     return written(shared.join(weights, F.col("node") == F.col("m")).select("key", "node", "n", "at", "weight", *MARKS), "buckets")
 
 
@@ -208,7 +214,7 @@ def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows of buckets with the class of each node, where a bucket holds several classes."""
     if labels is None:
         return shared.withColumn("label", F.col("node"))
-    of = labels.withColumnRenamed("node", "j")
+    of = small(labels.withColumnRenamed("node", "j"))
     rows = shared.join(of, F.col("node") == F.col("j"), "left").withColumn("label", F.coalesce("label", "node")).drop("j")
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return rows.join(mixed.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
@@ -235,7 +241,7 @@ def _possible(rows: DataFrame, similarity: float) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(n, held): the shingle sets of the wanted nodes (node, least_id), each computed once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("binary").alias("text"))
-    given = texts.join(wanted, F.col("d").eqNullSafe(F.col("least_id"))).select("node", "text")
+    given = texts.join(small(wanted), F.col("d").eqNullSafe(F.col("least_id"))).select("node", "text")
 
     def run(batches):
         for b in batches:
@@ -255,10 +261,10 @@ def node_of(held: np.ndarray) -> int:
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of nodes whose shingle sets are alike enough, by the sets themselves."""
-    both = (
-        pairs.join(sets.withColumnRenamed("held", "x"), F.col("a") == F.col("n")).select("a", "b", "x")
-        .join(sets.withColumnRenamed("held", "y"), F.col("b") == F.col("n")).select("a", "b", "x", "y")
-    )
+    known = small(pairs)
+    x = sets.join(known, F.col("n") == F.col("a")).select("a", "b", F.col("held").alias("x"))
+    y = sets.join(known, F.col("n") == F.col("b")).select("a", "b", F.col("held").alias("y"))
+    both = x.join(y, ["a", "b"])
 
     def compared(batches):
         for b in batches:
@@ -311,7 +317,7 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         sample.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "balls")
     ends = shared.select("node").unionAll(ball_pairs.select("a")).unionAll(ball_pairs.select("b")).distinct().withColumnRenamed("node", "e")
-    sets = _sets(docs, nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select("node", "least_id"), words)
+    sets = _sets(docs, written(nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select("node", "least_id"), "wanted"), words)
     nodes = nodes.select("node", "least_id")
     linked = written(_alike(ball_pairs, sets, similarity), "links")
     tried, labels = ball_pairs, components(linked)
