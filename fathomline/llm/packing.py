@@ -130,7 +130,7 @@ def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 2, tie
         packer = Packer(TaskContext.get().partitionId() << 36, tiers)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"], encode.all(b["text"]), strict=True):
+            for doc_id, ids in zip(b["doc_id"], encode.stream(b["text"]), strict=True):
                 packer.add(doc_id, ids + end)
                 if len(packer.ready) >= 2 * packer.window // packer.top:
                     yield packer.rows()

@@ -125,8 +125,6 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 DRAWN = 32
 #: Places of the table of common shingles, of one byte each. Shingles that share a place share its level.
 LEVELS = 1 << 20
-#: Rounds that link bucket members to one member of another class before the pairs left are listed.
-ROUNDS = 2
 #: Words of 64 bits in which each shingle of a set marks one bit.
 MARKS = [f"m{i}" for i in range(16)]
 
@@ -210,24 +208,22 @@ def _fits(similarity: float) -> F.Column:
     )
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets with the class of each node, where a bucket holds several classes."""
-    if labels is None:
-        return shared.withColumn("label", F.col("node"))
     of = small(labels.withColumnRenamed("node", "j"))
     rows = shared.join(of, F.col("node") == F.col("j"), "left").withColumn("label", F.coalesce("label", "node")).drop("j")
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return rows.join(mixed.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
 
 
-def _to_first(rows: DataFrame, order: F.Column, tried: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each node with one node of another class, the first of a bucket, that it meets in most buckets."""
-    hub = F.max(F.struct(order.alias("order"), "node", "label", "n", "at", *MARKS)).alias("hub")
+def _to_heaviest(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each node with the node, heaviest of a bucket, that it meets in most buckets."""
+    rows = shared.withColumn("label", F.col("node"))
+    hub = F.max(F.struct("weight", "node", "label", "n", "at", *MARKS)).alias("hub")
     hubs = _side(rows.groupBy("key").agg(hub).select("key", "hub.*"), "b")
     met = _side(rows, "a").join(hubs, "key").where(_fits(similarity)).groupBy("a", "b").agg(F.count("*").alias("c"))
-    pairs = met.select(F.col("a").alias("node"), "c", F.col("b").alias("other"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    best = pairs.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("c", "other")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
+    best = met.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _possible(rows: DataFrame, similarity: float) -> DataFrame:
@@ -286,10 +282,9 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     fingerprints meet in balls of half the radius; colliding pairs are checked by their sets. A
     similarity of 0.8 is about 10 of 64 bits, too far for any ball that can be emitted, so (2) nodes also meet
     on their first shingles in one order of all shingles, rare ones first: sets that are alike
-    enough have one of these in common. Each node is compared with the heaviest of a bucket, then with others drawn
-    in further rounds; a crowd around one text so folds into a class with a few pairs
-    for each member. (3) All pairs of a bucket that are still in different classes and can be alike by their
-    counts are compared, so none is left out.
+    enough have one of these in common. Each node is compared with the heaviest of a bucket, so a crowd around one
+    text folds into a class with a pair for each member. (3) All pairs of a bucket that are still in different classes
+    and can be alike by their sizes, places and marks are compared, so none is left out.
     Nulls, empty texts, repeated rows and empty tables behave as in near_duplicates.
     """
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
@@ -299,11 +294,12 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         table = np.frombuffer(levels, np.uint8)
         for b in batches:
             held = [shingle_set(t, words) for t in b["text"]]
+            bits = [marks(h) for h in held]
             yield {
                 "doc_id": b["doc_id"], "n": [len(h) for h in held], "node": [node_of(h) for h in held],
                 "fp": [int(np.int64(np.uint64(majority(bit_counts(h), len(h))).view(np.int64))) for h in held],
                 "keys": [prefix(h, table, similarity).view("<i8") for h in held],
-            } | dict(zip(MARKS, map(list, zip(*map(marks, held), strict=True)), strict=True))
+            } | {m: [x[k] for x in bits] for k, m in enumerate(MARKS)}
 
     columns = "doc_id long, n long, node long, fp long, keys array<long>" + "".join(f", {m} long" for m in MARKS)
     marked = written(arrow_rows(raw, columns, run), "prefixes")
@@ -312,26 +308,19 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         *(F.first(m).alias(m) for m in MARKS)), "nodes")
     shared = _buckets(nodes, similarity)
     sample = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    ball_pairs = written(links(nodes.select("fp").distinct(), radius).join(
+    same = nodes.select("node", "fp").join(sample.select(F.col("fp").alias("f"), F.col("node").alias("a")), F.col("fp") == F.col("f")).where("node <> a")
+    ball_pairs = written(same.select("a", F.col("node").alias("b")).unionAll(links(nodes.select("fp").distinct(), radius).join(
         sample.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
         sample.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "balls")
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "balls")
     ends = shared.select("node").unionAll(ball_pairs.select("a")).unionAll(ball_pairs.select("b")).distinct().withColumnRenamed("node", "e")
     sets = _sets(docs, written(nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select("node", "least_id"), "wanted"), words)
     nodes = nodes.select("node", "least_id")
-    linked = written(_alike(ball_pairs, sets, similarity), "links")
-    tried, labels = ball_pairs, components(linked)
-    for turn in range(ROUNDS):
-        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("weight")
-        pairs = written(_to_first(_labelled(shared, labels), order, tried, similarity), "pairs")
-        found = written(_alike(pairs, sets, similarity), "links")
-        tried = tried.unionAll(pairs)
-        if not found.limit(1).count():
-            break
-        linked = linked.unionAll(found)
-        labels = components(linked)
-    left = _possible(written(_labelled(shared, labels), "apart"), similarity)
-    found = written(_alike(written(left.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, similarity), "links")
+    pairs = written(ball_pairs.unionAll(_to_heaviest(shared, similarity)).distinct(), "pairs")
+    linked = written(_alike(pairs, sets, similarity), "links")
+    apart = written(_labelled(shared, components(linked)), "apart")
+    left = written(_possible(apart, similarity).join(small(pairs), ["a", "b"], "left_anti"), "pairs")
+    found = written(_alike(left, sets, similarity), "links")
     joined = components(linked.unionAll(found))
     rooted = nodes.join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select(
         F.col("node").alias("of"), F.coalesce("label", "node").alias("root"), "least_id")

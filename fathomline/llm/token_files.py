@@ -138,7 +138,7 @@ def tokenised(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
         wide = encode.library.get_vocab_size() > 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in encode.all(b["text"])]
+            ids = [np.frombuffer(x + end, "<u4") for x in encode.stream(b["text"])]
             yield {
                 "doc_id": b["doc_id"], "row": b["row"], "n": [len(x) for x in ids],
                 "ids": [(x if wide else x.astype("<u2")).tobytes() for x in ids],

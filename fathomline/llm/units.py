@@ -43,7 +43,7 @@ def stretches(text: str) -> Iterator[str]:
 class Kept:
     """Values of pieces in two generations: when the young one is full, the old one is dropped."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.young, self.old = most, {}, {}
 
     def values(self, pieces: list[str], find) -> list:
@@ -78,6 +78,11 @@ class Read:
     def __call__(self, text: str | None):
         return self.add([self.closed(x) for x in stretches(text or "")])
 
+    def stream(self, texts: list[str | None], most: int = 500) -> Iterator:
+        """The value of each text, of so many at a time."""
+        for at in range(0, len(texts), most):
+            yield from self.all(texts[at : at + most])
+
     def all(self, texts: list[str | None]) -> list:
         """The value of each text; the pieces of some hundred thousand characters are looked up at once.
 
