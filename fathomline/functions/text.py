@@ -72,20 +72,34 @@ def us_date(text: str) -> Column:
 
 
 def yearly_amounts(text: str) -> Column:
-    """(fiscal_year, amount) structs of a text like ``FY 2019 = $1,234.50``."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"FY\s*(\d{4}\s*=\s*\$[\d,]+(?:\.\d+)?)"), 1)
-    return F.transform(found, lambda x: F.struct(
-        F.substring(x, 1, 4).cast("int").alias("fiscal_year"),
-        F.replace(F.regexp_extract(x, r"\$([\d,]+(?:\.\d+)?)", 1), F.lit(","), F.lit("")).cast("double").alias("amount"),
-    ))
+    """(fiscal_year, amount) structs of a text like ``FY 2019 = $1,234.50``; the dollar sign may be absent."""
+    # each part after an "FY" starts with its year; what follows the sign of equality is the amount
+    parts = F.slice(F.split(F.col(text), "FY"), 2, 1 << 30)
+    named = F.transform(parts, lambda x: F.struct(
+        F.nullif(F.trim(F.substring_index(x, "=", 1)), F.lit("")).alias("year"),
+        F.translate(F.regexp_substr(F.ltrim(F.translate(F.element_at(F.split(x, "="), 2), "$", " ")), F.lit(r"^[0-9][0-9,.]*")), ",", "").alias("amount")))
+    whole = F.filter(named, lambda v: v["year"].rlike(r"^[0-9]{4}$") & v["amount"].isNotNull())
+    return F.transform(whole, lambda v: F.struct(
+        v["year"].cast("int").alias("fiscal_year"), F.rtrim(v["amount"], F.lit(".")).cast("double").alias("amount")))
 
 
 def dms(text: str) -> Column:
-    """Degrees, minutes and seconds with a compass letter, as decimal degrees."""
-    pattern = r"(\d+)\D+(\d+)\D+([\d.]+)?\D*([NSEW])"
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("double"), F.lit(0.0))
-    letter = F.regexp_extract(text, pattern, 4)
-    return F.when(letter != "", (part(1) + part(2) / 60 + part(3) / 3600) * F.when(letter.isin("S", "W"), -1).otherwise(1))
+    """The first angle of a text as decimal degrees: see angles."""
+    return F.get(angles(text), 0)
+
+
+def angles(text: str) -> Column:
+    """All angles of a text, as decimal degrees: one to three numbers (degrees, minutes, seconds, each may have decimals)
+    and a compass letter; south and west are negative."""
+    found = F.regexp_extract_all(F.upper(text), F.lit(r"([0-9][0-9.]*[^0-9A-Z]*(?:[0-9][0-9.]*[^0-9A-Z]*){0,2}[NSEW](?![A-Z]))"), 1)
+
+    def value(one: Column) -> Column:
+        numbers = F.regexp_extract_all(one, F.lit(r"([0-9]+(?:[.][0-9]+)?)"), 1)
+        part = lambda i: F.coalesce(F.get(numbers, i).cast("double"), F.lit(0.0))
+        size = part(0) + part(1) / 60 + part(2) / 3600
+        return F.when(F.substring(one, -1, 1).isin("S", "W"), -size).otherwise(size)
+
+    return F.transform(found, value)
 
 
 def given_names_agree(a: Column, b: Column) -> Column:

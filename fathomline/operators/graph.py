@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.operators.keys import either_end, top_per_group
@@ -70,30 +69,54 @@ def collapsed(assigned: DataFrame, area: str, parents: dict, least: int) -> Data
     return assigned.join(F.broadcast(table), F.col(area) == F.col("__k"), "left").withColumn(area, F.coalesce("__v", area)).drop("__k", "__v")
 
 
-def roots(nodes: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
-    """(key, root, depth) by pointer jumping; a cycle ends after ``most`` doublings with its own id."""
-    at = nodes.select(key, F.coalesce(F.col(parent), F.col(key)).alias("root"), F.when(F.col(parent).isNull() | (F.col(parent) == F.col(key)), 0).otherwise(1).alias("depth"))
-    for _ in range(max(1, most.bit_length())):
-        up = at.select(F.col(key).alias("__k"), F.col("root").alias("__r"), F.col("depth").alias("__d"))
-        at = at.join(up, F.col("root") == F.col("__k"), "left").select(
-            key, F.coalesce("__r", "root").alias("root"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth")
-        )
-    return at
+def _checkpoints(spark: SparkSession) -> None:
+    """Name the folder of checkpoints: the session's own, or in a local session a new one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    if not named:
+        import tempfile
 
+        named = tempfile.mkdtemp(prefix="fathomline-")
+    context.setCheckpointDir(named)
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable, by label propagation and pointer jumps.
 
-    Each round is checkpointed, so plans stay short and a lost executor costs one round.
+def roots(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, depth) by pointer jumping, for hierarchies of any depth.
+
+    Each round doubles the reach of every pointer, and rounds go on while they settle nodes. Nodes that lead
+    into a cycle have no root: they keep a node of the cycle and a null depth. A parent that is no node is the root.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+    _checkpoints(nodes.sparkSession)
+    top = F.col(parent).isNull() | (F.col(parent) == F.col(key))
+    given = nodes.select(key, F.when(top, F.col(key)).otherwise(F.col(parent)).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done"))
+    known = given.select(F.col(key).alias("__k"))
+    at = given.join(known, F.col("root") == F.col("__k"), "left").withColumn("done", F.col("done") | F.col("__k").isNull()).drop("__k").checkpoint()
+    left = at.where("NOT done").count()
+    while left:
+        up = at.select(F.col(key).alias("__k"), F.col("root").alias("__r"), F.col("depth").alias("__d"), F.col("done").alias("__s"))
+        at = at.join(up, ~F.col("done") & (F.col("root") == F.col("__k")), "left").select(
+            key, F.coalesce("__r", "root").alias("root"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"),
+            (F.col("done") | F.coalesce("__s", F.lit(False))).alias("done")).checkpoint()
+        now = at.where("NOT done").count()
+        if now == left:
+            break
+        left = now
+    return at.select(key, "root", F.when(F.col("done"), F.col("depth")).alias("depth"))
+
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-"))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, by label propagation and pointer jumps until nothing changes.
+
+    Each round is checkpointed, so plans stay short and a lost executor costs one round.
+    """
+    _checkpoints(edges.sparkSession)
     both = either_end(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")).distinct().checkpoint()
     labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         told = labels.select(F.col("node").alias("of"), F.col("component").alias("seen"))
         near = both.join(told, F.col("other") == F.col("of")).groupBy(F.col("node").alias("n")).agg(F.min("seen").alias("near"))
         stepped = labels.join(near, F.col("node") == F.col("n"), "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
@@ -101,8 +124,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         moved = stepped.join(far, F.col("mid") == F.col("t"), "left").select("node", "old", F.least("mid", "far").alias("component")).checkpoint()
         labels = moved.select("node", "component")
         if moved.where("component <> old").limit(1).count() == 0:
-            break
-    return labels
+            return labels
 
 
 def supergraph(edges: DataFrame, groups: DataFrame, node: str, group: str) -> DataFrame:
@@ -111,36 +133,3 @@ def supergraph(edges: DataFrame, groups: DataFrame, node: str, group: str) -> Da
     b = groups.select(F.col(node).alias("__b"), F.col(group).alias("y"))
     joined = edges.join(a, edges.a == F.col("__a")).join(b, edges.b == F.col("__b"))
     return joined.groupBy(F.least("x", "y").alias("ga"), F.greatest("x", "y").alias("gb")).agg(F.sum("weight").alias("weight"))
-
-
-def force_layout(nodes: DataFrame, edges: DataFrame, group: str, seed: int = 7, steps: int = 60) -> DataFrame:
-    """(group, node, x, y): a seeded spring layout of each group, groups in parallel.
-
-    Nodes of a group are laid out together, so groups should hold a few thousand nodes at most.
-    """
-    import pandas as pd
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(left["node"].unique())
-        at = {n: i for i, n in enumerate(names)}
-        n = len(names)
-        place = np.random.default_rng(seed).random((n, 2))
-        ends = np.array([(at[a], at[b]) for a, b in zip(right["a"], right["b"], strict=True) if a in at and b in at], int).reshape(-1, 2)
-        k = 1 / np.sqrt(max(n, 1))
-        for step in range(steps if n > 1 else 0):
-            gap = place[:, None] - place[None]
-            far = np.maximum(np.sqrt((gap**2).sum(-1)), 1e-9)
-            push = (gap / far[..., None] * (k * k / far)[..., None]).sum(1)
-            pull = np.zeros_like(place)
-            if len(ends):
-                d = place[ends[:, 0]] - place[ends[:, 1]]
-                f = d * (np.sqrt((d**2).sum(-1)) / k)[:, None]
-                np.add.at(pull, ends[:, 0], -f)
-                np.add.at(pull, ends[:, 1], f)
-            move = push + pull
-            size = np.maximum(np.sqrt((move**2).sum(-1)), 1e-9)
-            place = place + move / size[:, None] * np.minimum(size, 0.1 * (1 - step / steps))[:, None]
-        return pd.DataFrame({group: [key[0]] * n, "node": names, "x": place[:, 0], "y": place[:, 1]})
-
-    kinds = dict(nodes.dtypes)
-    return nodes.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(run, f"{group} {kinds[group]}, node {kinds['node']}, x double, y double")

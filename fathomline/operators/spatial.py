@@ -40,38 +40,22 @@ def polygon_join(points: DataFrame, polygons: DataFrame, x: str, y: str, rings:
     return near.where(inside).select(*points.columns, *(c for c in polygons.columns if c != rings))
 
 
-def nearest(points: DataFrame, targets: DataFrame, point: str, reach: int = 3) -> DataFrame:
-    """(point, target, km): the nearest target within ``reach`` one-degree longitude bands.
-
-    Tables have (point|target, lat, lng). Targets are spread over bands; ties go to the smaller id.
-    """
-    p = points.select(F.col(point), F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), F.explode(
-        F.expr(f"sequence(CAST(floor(lng) AS INT) - {reach}, CAST(floor(lng) AS INT) + {reach})")).alias("__band"))
-    t = targets.select("target", F.col("lat").alias("__tlat"), F.col("lng").alias("__tlng"), F.floor("lng").cast("int").alias("__band"))
-    near = p.join(t, "__band").withColumn("km", haversine_km("__lat", "__lng", "__tlat", "__tlng"))
-    best = near.groupBy(point).agg(F.min(F.struct("km", "target")).alias("b"))
-    return best.select(point, "b.target", "b.km")
-
-
-def nearest_of_all(points: DataFrame, targets: DataFrame, point: str, reaches: tuple[int, ...] = (3, 12, 45)) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, point: str, reaches: tuple[int, ...] = (3, 12, 45, 180)) -> DataFrame:
     """(point, target, km): the nearest of all targets; ties go to the smaller id.
 
-    The bands around a point widen, across 180 degrees too, only while a target outside them could be nearer; the last
-    step compares the points left with every target. Points without a place are left out, as targets are.
+    The bands around a point widen, across 180 degrees too, only while a target outside them could be nearer; those of
+    the last reach hold every target. Points without a place are left out, as targets are.
     """
     left = points.select(F.col(point), F.col("lat").alias("__lat"), F.col("lng").alias("__lng")).where("__lat IS NOT NULL AND __lng IS NOT NULL")
     band = "CAST(pmod(floor({}), 360) AS INT)"
     t = targets.select("target", F.col("lat").alias("__tlat"), F.col("lng").alias("__tlng"), F.expr(band.format("lng")).alias("__band")).where("__tlat IS NOT NULL AND __tlng IS NOT NULL")
     km = haversine_km("__lat", "__lng", "__tlat", "__tlng")
     keep, done = [point, "__lat", "__lng"], None
-    for reach in (*reaches, None):
-        if reach is None:
-            near = left.crossJoin(t)
-        else:
-            around = F.explode(F.expr(f"transform(sequence(-{reach}, {reach}), i -> CAST(pmod(floor(__lng) + i, 360) AS INT))"))
-            near = left.withColumn("__band", around).join(t, "__band", "left")
+    for reach in reaches:
+        around = F.explode(F.expr(f"array_distinct(transform(sequence(-{reach}, {reach}), i -> CAST(pmod(floor(__lng) + i, 360) AS INT)))"))
+        near = left.withColumn("__band", around).join(t, "__band", "left")
         best = near.withColumn("km", km).groupBy(*keep).agg(F.min(F.when(F.col("km").isNotNull(), F.struct("km", "target"))).alias("b"))
-        if reach is not None:
+        if reach < reaches[-1]:
             # no target outside is nearer than the meridian so many degrees away
             sure = F.lit(EARTH_KM) * F.asin(F.cos(F.radians("__lat")) * F.sin(F.radians(F.lit(float(reach)))))
             settled = F.coalesce(F.col("b.km") < sure - 1e-6, F.lit(False))
@@ -82,6 +66,29 @@ def nearest_of_all(points: DataFrame, targets: DataFrame, point: str, reaches: t
     return done
 
 
+nearest_of_all = nearest
+
+
+def farthest_points(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
+    """(key, turn): k points, each the farthest from those before it; the first is the smallest key, as are ties.
+
+    Every turn is one pass over the points, which keep their distance from the chosen ones; only the chosen point
+    reaches the driver.
+    """
+    spark = points.sparkSession
+    at = points.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    chosen: list[tuple] = []
+    while len(chosen) < k:
+        gaps = [F.pow(F.col("x") - c[1], 2) + F.pow(F.col("y") - c[2], 2) for c in chosen]
+        gap = F.least(*gaps) if len(gaps) > 1 else gaps[0] if gaps else F.lit(0.0)
+        top = at.withColumn("gap", gap).agg(F.min(F.struct((-F.col("gap")).alias("g"), F.col(key).alias("k"), "x", "y")).alias("b")).first().b
+        if top is None or chosen and top.g >= 0:
+            break
+        chosen.append((top.k, top.x, top.y))
+    kind = dict(points.dtypes)[key]
+    return spark.createDataFrame([(c[0], i) for i, c in enumerate(chosen)], f"{key} {kind}, turn int")
+
+
 def crosses_antimeridian(ring: str) -> Column:
     """Whether two neighbouring vertices lie over 180 degrees of longitude apart."""
     return F.expr(f"exists(sequence(1, greatest(size({ring}) - 1, 1)), i -> i < size({ring}) AND abs({ring}[i].x - {ring}[i - 1].x) > 180)")

@@ -170,6 +170,18 @@ def root_rollup(t: Tables) -> DataFrame:
     return roots(h, "node", "parent").select("node", "root", "depth")
 
 
+@query("""
+WITH RECURSIVE up(k, root, depth) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part WHERE p_partkey % 400 = 0 OR p_partkey - 1 NOT IN (SELECT p_partkey FROM part)
+  UNION ALL SELECT p_partkey, up.root, up.depth + 1 FROM part JOIN up ON p_partkey = up.k + 1 WHERE p_partkey % 400 <> 0)
+SELECT k AS node, root, depth FROM up
+""")
+def deep_rollup(t: Tables) -> DataFrame:
+    """Roots and depths of chains of 400 nodes."""
+    held = t.part.selectExpr("p_partkey AS held")
+    h = t.part.join(held, F.col("p_partkey") - 1 == F.col("held"), "left").selectExpr("p_partkey AS node", "CASE WHEN p_partkey % 400 = 0 THEN NULL ELSE held END AS parent")
+    return roots(h, "node", "parent")
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_orderkey AS o FROM lineitem WHERE l_quantity >= 45 AND l_discount >= 0.07),
 p AS (SELECT x.a AS a, z.a AS b FROM e x JOIN e z USING (o) WHERE x.a <> z.a),
@@ -177,16 +189,17 @@ r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
 SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a
 """)
 def dedup_components(t: Tables) -> DataFrame:
-    e = t.lineitem.where("l_quantity >= 45 AND l_discount >= 0.07").select("l_orderkey", "l_partkey", F.lit(0).alias("y"))
-    return components(co_occurrence(e, "l_orderkey", "l_partkey", "y").select("a", "b"))
+    return components(_to_least(t.lineitem.where("l_quantity >= 45 AND l_discount >= 0.07")))
+
+
+def _to_least(lines: DataFrame) -> DataFrame:
+    """(a, b): each part of an order with the order's least part, which connects what all pairs would."""
+    e = lines.where("l_partkey IS NOT NULL AND l_orderkey IS NOT NULL").select("l_orderkey", "l_partkey").distinct()
+    least = e.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
+    return e.join(least, "l_orderkey").where("a <> l_partkey").select("a", F.col("l_partkey").alias("b")).distinct()
 
 
 @query()
 def dedup_components_all(t: Tables) -> DataFrame:
-    """dedup_components over all lines, without its filter; a recursive closure in SQL is too slow for that.
-
-    Each part of an order is linked to the order's least part, which connects what all pairs would.
-    """
-    e = t.lineitem.where("l_partkey IS NOT NULL AND l_orderkey IS NOT NULL").select("l_orderkey", "l_partkey").distinct()
-    least = e.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
-    return components(e.join(least, "l_orderkey").where("a <> l_partkey").select("a", F.col("l_partkey").alias("b")).distinct())
+    """dedup_components over all lines, without its filter; a recursive closure in SQL is too slow for that."""
+    return components(_to_least(t.lineitem))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.operators.graph import collapsed, primary, vote, with_fallback
 from fathomline.operators.keys import latest, top_per_group
 from fathomline.operators.metrics import (
-    area_weights, arg_max, confidence_score, h_index, h_index_of_groups, percent_rank_score, shares, tier_cut, z_composite,
+    area_weights, arg_max, confidence_score, h_index_of_groups, percent_rank_score, shares, tier_cut, z_composite,
 )
 from fathomline.operators.nested import joined_set
 from fathomline.operators.predicates import token_flag
@@ -43,8 +43,9 @@ m AS (SELECT person, area, count(*) AS pubs, CAST(sum(cites) AS BIGINT) AS cites
 
 
 def _metrics(t: Tables) -> DataFrame:
-    return _works(t).groupBy("person", "area").agg(
-        F.count("*").alias("pubs"), F.sum("cites").alias("cites"), h_index("cites").cast("long").alias("h"))
+    sums = _works(t).groupBy("person", "area").agg(F.count("*").alias("pubs"), F.sum("cites").alias("cites"))
+    h = h_index_of_groups(_works(t), ["person", "area"], "cites").select("person", "area", F.col("h_index").cast("long").alias("h"))
+    return sums.join(h, ["person", "area"])
 
 
 @query(_METRICS + "SELECT * FROM m")

@@ -8,6 +8,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Words of SQL that are not looked up as files.
+RESERVED = frozenset("select from where group by order having limit join left right inner outer full on using and or not in is null as with union all distinct case when then else end desc asc between like".split())
+
+
 class Catalog:
     """Tables ``<folder>/<name>.parquet`` by name; each is opened once, when first asked for."""
 
@@ -35,14 +39,14 @@ class Catalog:
         raise ValueError(f"{name} has none of the column sets")
 
     def sql(self, text: str, **values) -> DataFrame:
-        """Run SQL in which table names stand for this folder's tables; values bind to :names."""
-        names = {w for w in re.findall(r"[A-Za-z_]\w*", text) if self._is_table(w)}
-        for n in names:
-            text = re.sub(rf"(?i)\b(FROM|JOIN|,)(\s+){n}\b", rf"\1\2{{{n}}}", text)
-        frames = {n: self.get(n) for n in names if f"{{{n}}}" in text}
-        return self.spark.sql(text, args=values or None, **frames)
-
-    def _is_table(self, word: str) -> bool:
-        from fathomline.session import TABLES
-
-        return word in TABLES and self.get(word) is not None
+        """Run SQL over this folder's tables; values bind to :names.
+
+        Each word of the text that names a file of the folder becomes a temporary view, and the text
+        is given to Spark as it is, so columns may be named like tables. A quoted path after FROM or JOIN, as in
+        ``FROM 'x.parquet'``, is read as a Parquet table.
+        """
+        text = re.sub(r"(?i)\b(FROM|JOIN)(\s+)'([^']+\.parquet)'", r"\1\2parquet.`\3`", text)
+        for name in dict.fromkeys(re.findall(r"[A-Za-z_]\w*", text)):
+            if name.lower() not in RESERVED and self.get(name) is not None:
+                self.get(name).createOrReplaceTempView(name)
+        return self.spark.sql(text, args=values or None)

@@ -138,11 +138,34 @@ def test_roots_with_cycle(table):
     assert found[3] == 1 and found[8] in (8, 9)
 
 
-def test_layout_is_seeded(table):
-    nodes = table([("g", i) for i in range(6)] + [("h", 1)], "g string, node long")
-    edges = table([("g", 0, 1), ("g", 1, 2)], "g string, a long, b long")
-    one, two = (rows(graph.force_layout(nodes, edges, "g", steps=5)) for _ in range(2))
-    assert one == two and len(one) == 7
+def test_roots_of_a_deep_chain(table):
+    df = table([(i, i - 1 if i else None) for i in range(400)], "k int, p int")
+    found = {r.k: (r.root, r.depth) for r in graph.roots(df, "k", "p").collect()}
+    assert found == {i: (0, i) for i in range(400)}
+
+
+def test_angles_and_amounts(table):
+    df = table([("36.417°N", "FY 2019 = 1,234.50"), ("36°N 116°W", "FY2020 = $7 FY 20x = 3"), ("none", None), ("12°30'S, 5°15'36\"E", "FY 2021 = $2,000.")], "g string, f string")
+    found = df.select(x.angles("g"), x.yearly_amounts("f")).collect()
+    assert [r[0] for r in found] == [[36.417], [36.0, -116.0], [], [-12.5, 5.26]]
+    assert [r[1] and [tuple(v) for v in r[1]] for r in found] == [[(2019, 1234.5)], [(2020, 7.0)], None, [(2021, 2000.0)]]
+
+
+def test_nearest_crosses_the_date_line(table):
+    points = table([(1, 0.0, 179.9), (2, 10.0, 0.0), (3, None, 1.0)], "id int, lat double, lng double")
+    targets = table([(7, 0.0, -179.9), (8, 0.0, 170.0), (9, -80.0, 100.0)], "target int, lat double, lng double")
+    assert [(r.id, r.target) for r in spatial.nearest(points, targets, "id").orderBy("id").collect()][0] == (1, 7)
+    assert spatial.nearest(points, targets, "id").count() == 2
+
+
+def test_farthest_points_are_brute_force(table):
+    at = [(i, (i * 37 % 101) / 7, (i * 53 % 97) / 5) for i in range(60)] + [(90, None, 1.0)]
+    chosen = [at[0]]
+    while len(chosen) < 6:
+        gap = lambda p: min((p[1] - c[1]) ** 2 + (p[2] - c[2]) ** 2 for c in chosen)
+        chosen.append(min(at[:60], key=lambda p: (-gap(p), p[0])))
+    got = spatial.farthest_points(table(at, "k int, x double, y double"), "k", "x", "y", 6)
+    assert [r.k for r in got.orderBy("turn").collect()] == [c[0] for c in chosen]
 
 
 def test_polygon_with_hole(table):
