@@ -126,7 +126,7 @@ DRAWN = 32
 #: Places of the table of common shingles, of one byte each. Shingles that share a place share its level.
 LEVELS = 1 << 20
 #: Words of 64 bits in which each shingle of a set marks one bit.
-MARKS = [f"m{i}" for i in range(16)]
+MARKS = [f"m{i}" for i in range(8)]
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -234,8 +234,10 @@ def _possible(rows: DataFrame, similarity: float) -> DataFrame:
     return _side(rows, "a").join(_side(rows, "b"), "key").where("a < b").where(_fits(similarity)).select("a", "b").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(n, held): the shingle sets of the wanted nodes (node, least_id), each computed once."""
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(n, held): the shingle sets of the nodes (node, least_id) in the pairs, each once."""
+    ends = pairs.select(F.col("a").alias("e")).unionAll(pairs.select("b")).distinct()
+    wanted = written(nodes.join(ends, F.col("node") == F.col("e"), "left_semi"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("binary").alias("text"))
     given = texts.join(small(wanted), F.col("d").eqNullSafe(F.col("least_id"))).select("node", "text")
 
@@ -245,7 +247,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             own = [(n, h.tobytes()) for n, h in held if node_of(h) == n]  # a repeated id may bring other texts
             yield {"n": [n for n, _ in own], "held": [h for _, h in own]}
 
-    return written(arrow_rows(given, "n long, held binary", run).dropDuplicates(["n"]), "sets")
+    found = written(arrow_rows(given, "n long, held binary", run), "sets")
+    repeated = found.groupBy("n").count().where("count > 1").limit(1).count()
+    return found.dropDuplicates(["n"]) if repeated else found
 
 
 def node_of(held: np.ndarray) -> int:
@@ -313,14 +317,12 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         sample.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
         sample.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "balls")
-    ends = shared.select("node").unionAll(ball_pairs.select("a")).unionAll(ball_pairs.select("b")).distinct().withColumnRenamed("node", "e")
-    sets = _sets(docs, written(nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select("node", "least_id"), "wanted"), words)
     nodes = nodes.select("node", "least_id")
     pairs = written(ball_pairs.unionAll(_to_heaviest(shared, similarity)).distinct(), "pairs")
-    linked = written(_alike(pairs, sets, similarity), "links")
+    linked = written(_alike(pairs, _sets(docs, nodes, pairs, words), similarity), "links")
     apart = written(_labelled(shared, components(linked)), "apart")
     left = written(_possible(apart, similarity).join(small(pairs), ["a", "b"], "left_anti"), "pairs")
-    found = written(_alike(left, sets, similarity), "links")
+    found = written(_alike(left, _sets(docs, nodes, left, words), similarity), "links")
     joined = components(linked.unionAll(found))
     rooted = nodes.join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select(
         F.col("node").alias("of"), F.coalesce("label", "node").alias("root"), "least_id")

@@ -43,7 +43,7 @@ def stretches(text: str) -> Iterator[str]:
 class Kept:
     """Values of pieces in two generations: when the young one is full, the old one is dropped."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 120_000):
         self.most, self.young, self.old = most, {}, {}
 
     def values(self, pieces: list[str], find) -> list:
