@@ -127,6 +127,8 @@ DRAWN = 32
 LEVELS = 1 << 20
 #: Words of 64 bits in which each shingle of a set marks one bit.
 MARKS = [f"m{i}" for i in range(8)]
+#: Bits of a sketch for each shingle, at least; a sketch is an eighth of its set or less.
+SKETCH_BITS = 4
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -166,6 +168,25 @@ def marks(held: np.ndarray) -> list[int]:
     return np.packbits(bits, bitorder="little").view("<i8").tolist()
 
 
+def sketch(held: np.ndarray) -> bytes:
+    """A bit for each shingle in a string of bits that grows with the set, a power of two."""
+    bits = np.zeros(max(64, 1 << (SKETCH_BITS * len(held) - 1).bit_length()) if len(held) else 64, np.uint8)
+    bits[(held & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, na: int, nb: int, similarity: float) -> bool:
+    """False only if the sketches of sets of na and nb shingles show that they are not alike enough.
+
+    A bit that the other sketch lacks is a shingle that it lacks. The longer sketch is folded to the shorter.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    least = similarity / (1 + similarity) * (na + nb) - 1e-6
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, width)) for v in (x, y))
+    return na - int(np.bitwise_count(x & ~y).sum()) >= least and nb - int(np.bitwise_count(y & ~x).sum()) >= least
+
+
 def _least_common(n: int, similarity: float) -> int:
     """Shingles that a set of n has in common with any set alike enough."""
     return ceil(similarity * n - 1e-9)
@@ -235,7 +256,7 @@ def _possible(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(n, held): the shingle sets of the nodes (node, least_id) in the pairs, each once."""
+    """(n, size, sketch, held): the shingle sets of the nodes (node, least_id) in the pairs, each once."""
     ends = pairs.select(F.col("a").alias("e")).unionAll(pairs.select("b")).distinct()
     wanted = written(nodes.join(ends, F.col("node") == F.col("e"), "left_semi"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("binary").alias("text"))
@@ -244,10 +265,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> Da
     def run(batches):
         for b in batches:
             held = [(n, shingle_set(t, words)) for n, t in zip(b["node"], b["text"], strict=True)]
-            own = [(n, h.tobytes()) for n, h in held if node_of(h) == n]  # a repeated id may bring other texts
-            yield {"n": [n for n, _ in own], "held": [h for _, h in own]}
+            own = [(n, h) for n, h in held if node_of(h) == n]  # a repeated id may bring other texts
+            yield {
+                "n": [n for n, _ in own], "size": [len(h) for _, h in own],
+                "sketch": [sketch(h) for _, h in own], "held": [h.tobytes() for _, h in own],
+            }
 
-    found = written(arrow_rows(given, "n long, held binary", run), "sets")
+    found = written(arrow_rows(given, "n long, size long, sketch binary, held binary", run), "sets")
     repeated = found.groupBy("n").count().where("count > 1").limit(1).count()
     return found.dropDuplicates(["n"]) if repeated else found
 
@@ -259,12 +283,28 @@ def node_of(held: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(held.tobytes())], "<u8").view("<i8")[0])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of nodes whose shingle sets are alike enough, by the sets themselves."""
+def _beside(pairs: DataFrame, sets: DataFrame, named: dict[str, tuple[str, str]]) -> DataFrame:
+    """(a, b) with columns of the sets of both ends, under a name for either end."""
     known = small(pairs)
-    x = sets.join(known, F.col("n") == F.col("a")).select("a", "b", F.col("held").alias("x"))
-    y = sets.join(known, F.col("n") == F.col("b")).select("a", "b", F.col("held").alias("y"))
-    both = x.join(y, ["a", "b"])
+    x = sets.join(known, F.col("n") == F.col("a")).select("a", "b", *(F.col(c).alias(v[0]) for c, v in named.items()))
+    y = sets.join(known, F.col("n") == F.col("b")).select("a", "b", *(F.col(c).alias(v[1]) for c, v in named.items()))
+    return x.join(y, ["a", "b"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of nodes whose shingle sets are alike enough, by the sets themselves.
+
+    A set is sent once for each of its pairs, so sketches go first and sets only for pairs that these can't rule out.
+    """
+
+    def close(batches):
+        for b in batches:
+            keep = [i for i, v in enumerate(zip(b["x"], b["y"], b["nx"], b["ny"], strict=True)) if may_be_alike(*v, similarity)]
+            yield {"a": [b["a"][i] for i in keep], "b": [b["b"][i] for i in keep]}
+
+    sketches = _beside(pairs, sets, {"sketch": ("x", "y"), "size": ("nx", "ny")})
+    near = written(arrow_rows(sketches, "a long, b long", close), "close")
+    both = _beside(near, sets, {"held": ("x", "y")})
 
     def compared(batches):
         for b in batches:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from fathomline.llm import simhash
@@ -48,3 +49,18 @@ def test_classes_lose_no_link(spark, made):
     want = classes(rows)
     assert len(set(want.values())) < len(rows)
     assert got == want
+
+
+def test_sketches_rule_out_no_alike_pair():
+    rnd, ruled_out = np.random.default_rng(5), 0
+    for n in (0, 1, 3, 15, 17, 64, 127, 400):
+        for more in (0, 1, n // 8, n // 4, n // 3, n, 4 * n):
+            for lost in (0, n // 9, n // 5):
+                p = np.unique(rnd.integers(0, 1 << 63, n, dtype="<u8"))
+                q = np.unique(np.concatenate([p[lost:], rnd.integers(0, 1 << 63, more, dtype="<u8")]))
+                same = len(np.intersect1d(p, q))
+                alike = same >= 0.8 * (len(p) + len(q) - same)
+                got = simhash.may_be_alike(simhash.sketch(p), simhash.sketch(q), len(p), len(q), 0.8)
+                assert got or not alike
+                ruled_out += not got
+    assert ruled_out > 50
