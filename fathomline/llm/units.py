@@ -10,11 +10,14 @@ no white space and start with punctuation, so ids of the pieces in order are the
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space in the tokenizers' sense (Unicode White_Space).
@@ -26,6 +29,8 @@ CUTS = re.compile(
 SURE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 STRETCH = 1 << 17
 KEPT_CHARS = 48
+#: New words that the library gets as one text.
+JOINED = 256
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -123,7 +128,12 @@ class Read:
 
 
 class Encoder(Read):
-    """Ids of a tokenizers file as little-endian unsigned 32-bit bytes, with a bounded memory of pieces."""
+    """Ids of a tokenizers file as little-endian unsigned 32-bit bytes, with a bounded memory of pieces.
+
+    New pieces of a space and letters reach the library joined, since a text of its own costs more than its
+    tokens do. A cut lies before each, so their ids are those of the pieces; where one ends shows in
+    the vocabulary, which marks the last token of a word, or the byte of a space, which only opens a piece.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -131,11 +141,31 @@ class Encoder(Read):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.suffix = json.load(f)["model"].get("end_of_word_suffix")
+        tokens = self.library.get_vocab()
+        self.marked = np.zeros(max(tokens.values(), default=0) + 1, bool)
+        self.marked[[i for t, i in tokens.items() if (t.endswith(self.suffix) if self.suffix else t.startswith("\u0120"))]] = True
         super().__init__(self.ids, b"".join)
 
     def ids(self, pieces: list[str]) -> list[bytes]:
-        got = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in got]
+        words = [k for k, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        out: list = [None] * len(pieces)
+        for group, ids in zip(groups, self.library_ids(["".join([pieces[k] for k in g]) for g in groups]), strict=True):
+            raw = array("I", ids).tobytes()
+            ends = np.flatnonzero(self.marked[np.frombuffer(raw, "<u4")])
+            if len(ends) == len(group):  # else some piece is no single word to the library
+                cuts = [0, *(4 * ends + 4).tolist()] if self.suffix else [*(4 * ends).tolist(), len(raw)]
+                for k, start, end in zip(group, cuts, cuts[1:], strict=False):
+                    out[k] = raw[start:end]
+        rest = [k for k, v in enumerate(out) if v is None]
+        for k, ids in zip(rest, self.library_ids([pieces[k] for k in rest]), strict=True):
+            out[k] = array("I", ids).tobytes()
+        return out
+
+    def library_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _OPEN: dict[str, Encoder] = {}

@@ -470,3 +470,14 @@ def test_pieces_of_the_word_tokenizer(seed):
     for _ in range(500):
         t = "".join(rnd.choice(ATOMS) for _ in range(rnd.randint(0, 16)))
         assert encode(t) == array("I", encode.library.encode(t, add_special_tokens=False).ids).tobytes(), repr(t)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_joined_words_have_the_ids_of_each(name):
+    rnd, encode = random.Random(3), units.Encoder(units.vocabulary(name))
+    letters = "abcXYZéèßñǅαжЖ日本語각ㄱªſﬁİ" + "가\U0001e030\U0003134a"
+    pieces = [" " + "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    pieces += [" ", "\n", "a", " 12", " é", " <|endoftext|>", "...", " x" * 3] + [" " + "ab" * 500] * 2
+    rnd.shuffle(pieces)
+    assert encode.ids(pieces) == [array("I", x).tobytes() for x in encode.library_ids(pieces)]
+    assert encode.ids([]) == []
