@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,13 +42,25 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A table of at most so many rows of a few dozen bytes may be sent to every task.
-BROADCAST_ROWS = 400_000
+#: A table of at most so many rows and bytes may be sent to every task.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a column in a row, by its own length where that varies."""
+    at = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(at), F.lit(0))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(at))), F.lit(0))
+    return F.lit(8)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A broadcast only behind a count; larger tables are shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A broadcast only behind a count of rows and bytes; larger tables are shuffled."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema), F.lit(16))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def arrow_rows(

@@ -40,3 +40,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
         if not changed:
             return labels
+
+
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (node, label) after further edges (a, b): components of the classes only, which are few, and one join.
+
+    A node that no label names is a class of its own; nodes without any edge stay out.
+    """
+    of = lambda end: labels.select(F.col("node").alias(f"n{end}"), F.col("label").alias(f"l{end}"))
+    contracted = more.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    above = components(contracted).select(F.col("node").alias("class"), F.col("label").alias("root"))
+    new = above.join(labels, F.col("class") == F.col("node"), "left_anti").select(F.col("class").alias("node"), F.col("root").alias("label"))
+    old = labels.join(above, F.col("label") == F.col("class"), "left").select("node", F.coalesce("root", "label").alias("label"))
+    return old.unionAll(new)

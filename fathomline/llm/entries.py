@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import chat, exact_dedup, language, leaks, licenses, packing, pages, simhash, token_counts, token_files
+from fathomline.llm import chat, exact_dedup, language, leaks, licenses, minhash, packing, pages, simhash, token_counts, token_files
 
 _RUN = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,12 +15,14 @@ _RUN = {
     "op8_leaks": leaks.op8_leaks,
     "op9_language": language.op9_language,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_minhash": minhash.op11_minhash,
 }
 _SQL = {
     "op4_licenses": licenses.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_leaks": leaks.OP8_SQL,
+    "op11_minhash": minhash.OP11_SQL,
 }
 
 

@@ -10,7 +10,6 @@ points, whatever the number of documents: copies are folded into one fingerprint
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 from math import ceil
 
@@ -18,28 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.llm.alike import alike, row_key, sets_of
 from fathomline.llm.common import arrow_rows, small, written
-from fathomline.llm.components import components
-
-SLICE = 1 << 16
-
-
-def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
-    """XXH64 values of the word shingles, some thousands at a time; none without a word."""
-    import xxhash
-
-    hashed = xxhash.xxh64_intdigest
-    parts = (text or b"").lower().split()
-    if not parts:
-        return
-    line = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = ends - [len(p) for p in parts]
-    width = min(words, len(parts))
-    spans = list(zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True))
-    for at in range(0, len(spans), SLICE):
-        yield np.array([hashed(line[s:e], 42) for s, e in spans[at : at + SLICE]], "<u8")
-
+from fathomline.llm.components import components, merged
+from fathomline.llm.shingles import node_of, shingle_hashes, shingle_set
 
 def majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
@@ -127,14 +108,6 @@ DRAWN = 32
 LEVELS = 1 << 20
 #: Words of 64 bits in which each shingle of a set marks one bit.
 MARKS = [f"m{i}" for i in range(8)]
-#: Bits of a sketch for each shingle, at least; a sketch is an eighth of its set or less.
-SKETCH_BITS = 4
-
-
-def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """Distinct shingle hashes in order."""
-    held = [np.unique(h) for h in shingle_hashes(text, words)]
-    return np.unique(np.concatenate(held)) if held else np.zeros(0, "<u8")
 
 
 def _common_levels(raw: DataFrame, words: int) -> bytes:
@@ -168,25 +141,6 @@ def marks(held: np.ndarray) -> list[int]:
     return np.packbits(bits, bitorder="little").view("<i8").tolist()
 
 
-def sketch(held: np.ndarray) -> bytes:
-    """A bit for each shingle in a string of bits that grows with the set, a power of two."""
-    bits = np.zeros(max(64, 1 << (SKETCH_BITS * len(held) - 1).bit_length()) if len(held) else 64, np.uint8)
-    bits[(held & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def may_be_alike(a: bytes, b: bytes, na: int, nb: int, similarity: float) -> bool:
-    """False only if the sketches of sets of na and nb shingles show that they are not alike enough.
-
-    A bit that the other sketch lacks is a shingle that it lacks. The longer sketch is folded to the shorter.
-    """
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    least = similarity / (1 + similarity) * (na + nb) - 1e-6
-    width = min(len(x), len(y))
-    x, y = (np.bitwise_or.reduce(v.reshape(-1, width)) for v in (x, y))
-    return na - int(np.bitwise_count(x & ~y).sum()) >= least and nb - int(np.bitwise_count(y & ~x).sum()) >= least
-
-
 def _least_common(n: int, similarity: float) -> int:
     """Shingles that a set of n has in common with any set alike enough."""
     return ceil(similarity * n - 1e-9)
@@ -255,70 +209,6 @@ def _possible(rows: DataFrame, similarity: float) -> DataFrame:
     return _side(rows, "a").join(_side(rows, "b"), "key").where("a < b").where(_fits(similarity)).select("a", "b").distinct()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(n, size, sketch, held): the shingle sets of the nodes (node, least_id) in the pairs, each once."""
-    ends = pairs.select(F.col("a").alias("e")).unionAll(pairs.select("b")).distinct()
-    wanted = written(nodes.join(ends, F.col("node") == F.col("e"), "left_semi"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("binary").alias("text"))
-    given = texts.join(small(wanted), F.col("d").eqNullSafe(F.col("least_id"))).select("node", "text")
-
-    def run(batches):
-        for b in batches:
-            held = [(n, shingle_set(t, words)) for n, t in zip(b["node"], b["text"], strict=True)]
-            own = [(n, h) for n, h in held if node_of(h) == n]  # a repeated id may bring other texts
-            yield {
-                "n": [n for n, _ in own], "size": [len(h) for _, h in own],
-                "sketch": [sketch(h) for _, h in own], "held": [h.tobytes() for _, h in own],
-            }
-
-    found = written(arrow_rows(given, "n long, size long, sketch binary, held binary", run), "sets")
-    repeated = found.groupBy("n").count().where("count > 1").limit(1).count()
-    return found.dropDuplicates(["n"]) if repeated else found
-
-
-def node_of(held: np.ndarray) -> int:
-    """A signed 64-bit name of a shingle set."""
-    import xxhash
-
-    return int(np.array([xxhash.xxh64_intdigest(held.tobytes())], "<u8").view("<i8")[0])
-
-
-def _beside(pairs: DataFrame, sets: DataFrame, named: dict[str, tuple[str, str]]) -> DataFrame:
-    """(a, b) with columns of the sets of both ends, under a name for either end."""
-    known = small(pairs)
-    x = sets.join(known, F.col("n") == F.col("a")).select("a", "b", *(F.col(c).alias(v[0]) for c, v in named.items()))
-    y = sets.join(known, F.col("n") == F.col("b")).select("a", "b", *(F.col(c).alias(v[1]) for c, v in named.items()))
-    return x.join(y, ["a", "b"])
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of nodes whose shingle sets are alike enough, by the sets themselves.
-
-    A set is sent once for each of its pairs, so sketches go first and sets only for pairs that these can't rule out.
-    """
-
-    def close(batches):
-        for b in batches:
-            keep = [i for i, v in enumerate(zip(b["x"], b["y"], b["nx"], b["ny"], strict=True)) if may_be_alike(*v, similarity)]
-            yield {"a": [b["a"][i] for i in keep], "b": [b["b"][i] for i in keep]}
-
-    sketches = _beside(pairs, sets, {"sketch": ("x", "y"), "size": ("nx", "ny")})
-    near = written(arrow_rows(sketches, "a long, b long", close), "close")
-    both = _beside(near, sets, {"held": ("x", "y")})
-
-    def compared(batches):
-        for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b["x"], b["y"], strict=True)):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                if same >= similarity * (len(p) + len(q) - same):
-                    keep.append(i)
-            yield {"a": [b["a"][i] for i in keep], "b": [b["b"][i] for i in keep]}
-
-    return arrow_rows(both, "a long, b long", compared)
-
-
 def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, component_id): classes of texts linked by a Jaccard similarity of their word shingles of ``similarity`` or more.
 
@@ -331,7 +221,8 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     and can be alike by their sizes, places and marks are compared, so none is left out.
     Nulls, empty texts, repeated rows and empty tables behave as in near_duplicates.
     """
-    raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), row_key().alias("rk"))
+    percent = round(100 * similarity)
     levels = _common_levels(raw, words)
 
     def run(batches):
@@ -340,15 +231,15 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             held = [shingle_set(t, words) for t in b["text"]]
             bits = [marks(h) for h in held]
             yield {
-                "doc_id": b["doc_id"], "n": [len(h) for h in held], "node": [node_of(h) for h in held],
+                "doc_id": b["doc_id"], "rk": b["rk"], "n": [len(h) for h in held], "node": [node_of(h) for h in held],
                 "fp": [int(np.int64(np.uint64(majority(bit_counts(h), len(h))).view(np.int64))) for h in held],
                 "keys": [prefix(h, table, similarity).view("<i8") for h in held],
             } | {m: [x[k] for x in bits] for k, m in enumerate(MARKS)}
 
-    columns = "doc_id long, n long, node long, fp long, keys array<long>" + "".join(f", {m} long" for m in MARKS)
+    columns = "doc_id long, rk long, n long, node long, fp long, keys array<long>" + "".join(f", {m} long" for m in MARKS)
     marked = written(arrow_rows(raw, columns, run), "prefixes")
     nodes = written(marked.groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"),
+        F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.max("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"),
         *(F.first(m).alias(m) for m in MARKS)), "nodes")
     shared = _buckets(nodes, similarity)
     sample = nodes.groupBy("fp").agg(F.min("node").alias("node"))
@@ -357,14 +248,15 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         sample.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
         sample.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "balls")
-    nodes = nodes.select("node", "least_id")
+    named = nodes.select("node", "rk")
     pairs = written(ball_pairs.unionAll(_to_heaviest(shared, similarity)).distinct(), "pairs")
-    linked = written(_alike(pairs, _sets(docs, nodes, pairs, words), similarity), "links")
-    apart = written(_labelled(shared, components(linked)), "apart")
+    linked = written(alike(pairs, sets_of(docs, named, pairs, words), percent), "links")
+    labels = written(components(linked), "classes")
+    apart = written(_labelled(shared, labels), "apart")
     left = written(_possible(apart, similarity).join(small(pairs), ["a", "b"], "left_anti"), "pairs")
-    found = written(_alike(left, _sets(docs, nodes, left, words), similarity), "links")
-    joined = components(linked.unionAll(found))
-    rooted = nodes.join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select(
+    found = written(alike(left, sets_of(docs, named, left, words), percent), "links")
+    joined = merged(labels, found)
+    rooted = nodes.select("node", "least_id").join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select(
         F.col("node").alias("of"), F.coalesce("label", "node").alias("root"), "least_id")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = rooted.join(least, "root").select("of", "component_id")

@@ -5,12 +5,12 @@ import random
 import numpy as np
 import pytest
 
-from fathomline.llm import simhash
+from fathomline.llm import shingles, simhash
 
 
 def classes(rows):
     """The least id of each class by comparing all pairs."""
-    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    sets = {i: set(shingles.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
     root = {i: i for i in sets}
     for i in sets:
         for j in sets:
@@ -59,8 +59,8 @@ def test_sketches_rule_out_no_alike_pair():
                 p = np.unique(rnd.integers(0, 1 << 63, n, dtype="<u8"))
                 q = np.unique(np.concatenate([p[lost:], rnd.integers(0, 1 << 63, more, dtype="<u8")]))
                 same = len(np.intersect1d(p, q))
-                alike = same >= 0.8 * (len(p) + len(q) - same)
-                got = simhash.may_be_alike(simhash.sketch(p), simhash.sketch(q), len(p), len(q), 0.8)
+                alike = 100 * same >= 80 * (len(p) + len(q) - same)
+                got = shingles.may_be_alike(shingles.sketch(p), shingles.sketch(q), len(p), len(q), 80)
                 assert got or not alike
                 ruled_out += not got
     assert ruled_out > 50
