@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import chat, exact_dedup, language, leaks, licenses, minhash, packing, pages, simhash, token_counts, token_files
+from fathomline.llm import chat, exact_dedup, language, leaks, licenses, minhash, packing, pages, runs, simhash, token_counts, token_files
 
 _RUN = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ _RUN = {
     "op9_language": language.op9_language,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_minhash": minhash.op11_minhash,
+    "op12_runs": runs.op12_runs,
 }
 _SQL = {
     "op4_licenses": licenses.OP4_SQL,
@@ -23,6 +24,7 @@ _SQL = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_leaks": leaks.OP8_SQL,
     "op11_minhash": minhash.OP11_SQL,
+    "op12_runs": runs.OP12_SQL,
 }
 
 
