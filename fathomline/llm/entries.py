@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.llm import chat, exact_dedup, language, leaks, licenses, minhash, packing, pages, runs, simhash, token_counts, token_files
+from fathomline.llm import chat, exact_dedup, language, leaks, licenses, minhash, packing, pages, phrases, runs, simhash, token_counts, token_files
 
 _RUN = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ _RUN = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_minhash": minhash.op11_minhash,
     "op12_runs": runs.op12_runs,
+    "op13_phrases": phrases.op13_phrases,
 }
 _SQL = {
     "op4_licenses": licenses.OP4_SQL,
@@ -25,6 +26,7 @@ _SQL = {
     "op8_leaks": leaks.OP8_SQL,
     "op11_minhash": minhash.OP11_SQL,
     "op12_runs": runs.OP12_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
 
 
