@@ -27,6 +27,59 @@ def unaccented(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
+def folded(text: str | Column) -> Column:
+    """Lower case without accents and outer spaces."""
+    return F.trim(F.lower(unaccented(text)))
+
+
+#: Long unit names and what stands for them in comparisons.
+UNIT_NAMES = (
+    ("national wildlife refuge", "nwr"), ("national monument", "nm"), ("national park", "np"), ("national seashore", "nashore"),
+    ("national lakeshore", "nlshore"), ("national preserve", "npreserve"), ("national recreation area", "nra"),
+)
+#: Acronyms and the words that they stand for.
+ACRONYMS = (
+    ("nerr", "national estuarine research reserve"), ("nms", "national marine sanctuary"), ("nep", "national estuary program"),
+    ("ltreb", "long term research environmental biology"), ("lter", "long term ecological research"), ("nps", "national park service"),
+    ("noaa", "national oceanic atmospheric administration"), ("ucsb", "university california santa barbara"), ("usf", "university south florida"),
+    ("ucsd", "university california san diego"), ("uw", "university washington"), ("dfo", "fisheries oceans canada"),
+)
+#: Words that an organisation's name is compared without.
+CONNECTORS = (
+    "the", "a", "an", "of", "and", "for", "at", "in", "on", "institute", "foundation", "incorporated", "inc", "llc", "department", "reserve", "sanctuary",
+)
+#: Words that tell nothing about which organisation it is.
+GENERIC_WORDS = (
+    "national", "international", "state", "federal", "center", "centre", "research", "science", "sciences", "scientific", "laboratory", "lab",
+    "laboratories", "university", "universidad", "universite", "college", "school", "program", "programme", "project", "service", "services",
+    "agency", "office", "bureau", "division", "unit", "group", "society", "association", "council", "committee", "commission", "authority",
+    "organization", "organisation", "corporation", "company", "trust", "network", "consortium", "partnership", "alliance", "system",
+    "systems", "studies", "study", "environmental", "environment", "natural", "resources", "management", "development", "technology",
+    "technologies", "engineering", "academy", "museum", "long", "term", "ecological", "estuarine",
+)
+
+
+def plain_name(text: str | Column) -> Column:
+    """Lower case with short forms of unit names; a null is an empty name."""
+    c = F.lower(F.trim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
+    for long, short in UNIT_NAMES:
+        c = F.replace(c, F.lit(long), F.lit(short))
+    return c
+
+
+def organisation(text: str | Column) -> Column:
+    """A name for comparison: folded, dashes as spaces, acronyms written out, without connectors."""
+    c = F.translate(folded(text), "—–-", "   ")
+    for short, long in ACRONYMS:
+        c = F.regexp_replace(c, rf"(?U)\b{short}\b", long)
+    return F.array_join(F.filter(F.split(c, r"\s+"), lambda t: (t != "") & ~t.isin(*CONNECTORS)), " ")
+
+
+def distinctive_tokens(text: str | Column) -> Column:
+    """The distinct words of three letters or more of a name for comparison that generic names don't share."""
+    return F.array_distinct(F.filter(F.split(organisation(text), " "), lambda t: (F.length(t) >= 3) & ~t.isin(*GENERIC_WORDS)))
+
+
 def orcid(text: str) -> Column:
     """An ORCID in a text or url, else null."""
     return F.nullif(F.regexp_extract(F.upper(text), r"(\d{4}-\d{4}-\d{4}-\d{3}[\dX])", 1), F.lit(""))
@@ -72,15 +125,17 @@ def us_date(text: str) -> Column:
 
 
 def yearly_amounts(text: str) -> Column:
-    """(fiscal_year, amount) structs of a text like ``FY 2019 = $1,234.50``; the dollar sign may be absent."""
+    """(fiscal_year, amount) structs of a text like ``FY 2019 = $1,234.50``; the dollar sign may be absent.
+
+    What isn't a year, a sign of equality and a plain amount is passed over: ``FY 2018 $5``, ``the FY report``, ``FY 2019=$1.2.3``.
+    """
     # each part after an "FY" starts with its year; what follows the sign of equality is the amount
     parts = F.slice(F.split(F.col(text), "FY"), 2, 1 << 30)
+    said = lambda x: F.translate(F.regexp_substr(F.ltrim(F.translate(F.get(F.split(x, "="), F.lit(1)), "$", " ")), F.lit(r"^[0-9][0-9,.]*")), ",", "")
     named = F.transform(parts, lambda x: F.struct(
-        F.nullif(F.trim(F.substring_index(x, "=", 1)), F.lit("")).alias("year"),
-        F.translate(F.regexp_substr(F.ltrim(F.translate(F.element_at(F.split(x, "="), 2), "$", " ")), F.lit(r"^[0-9][0-9,.]*")), ",", "").alias("amount")))
-    whole = F.filter(named, lambda v: v["year"].rlike(r"^[0-9]{4}$") & v["amount"].isNotNull())
-    return F.transform(whole, lambda v: F.struct(
-        v["year"].cast("int").alias("fiscal_year"), F.rtrim(v["amount"], F.lit(".")).cast("double").alias("amount")))
+        F.try_to_number(F.regexp_extract(F.trim(F.substring_index(x, "=", 1)), "^([0-9]{4})$", 1), F.lit("9999")).cast("int").alias("fiscal_year"),
+        F.rtrim(said(x), F.lit(".")).try_cast("double").alias("amount")))
+    return F.filter(named, lambda v: v["fiscal_year"].isNotNull() & v["amount"].isNotNull())
 
 
 def dms(text: str) -> Column:
@@ -89,17 +144,28 @@ def dms(text: str) -> Column:
 
 
 def angles(text: str) -> Column:
-    """All angles of a text, as decimal degrees: one to three numbers (degrees, minutes, seconds, each may have decimals)
-    and a compass letter; south and west are negative."""
-    found = F.regexp_extract_all(F.upper(text), F.lit(r"([0-9][0-9.]*[^0-9A-Z]*(?:[0-9][0-9.]*[^0-9A-Z]*){0,2}[NSEW](?![A-Z]))"), 1)
+    """All angles of a text, as decimal degrees: one to three numbers (degrees, minutes, seconds, each may have decimals after
+    a point or comma) and a compass letter, or one such letter and then the numbers; south and west are negative.
+
+    A letter belongs to the numbers on the side that the text's first angle shows. Forms that aren't read give nothing: more than
+    three numbers, minutes or seconds of 60 and more, degrees over 180 (90 with N and S).
+    """
+    number, gap = r"[0-9]+(?:[.,][0-9]+)?", r"[^0-9A-Z]*"
+    several = rf"{number}(?:{gap}{number}){{0,9}}"
+    c = F.upper(text)
+    after, before = rf"(?<![0-9.,])({several}{gap}[NSEW](?![A-Z]))", rf"((?<![A-Z])[NSEW]{gap}{several})"
+    leads = F.coalesce(F.regexp_extract(c, rf"^[^0-9]*?((?<![A-Z])[NSEW]){gap}[0-9]", 1) != "", F.lit(False))
+    found = F.when(leads, F.regexp_extract_all(c, F.lit(before), 1)).otherwise(F.regexp_extract_all(c, F.lit(after), 1))
 
     def value(one: Column) -> Column:
-        numbers = F.regexp_extract_all(one, F.lit(r"([0-9]+(?:[.][0-9]+)?)"), 1)
-        part = lambda i: F.coalesce(F.get(numbers, i).cast("double"), F.lit(0.0))
+        numbers = F.transform(F.regexp_extract_all(one, F.lit(f"({number})"), 1), lambda n: F.translate(n, ",", ".").try_cast("double"))
+        part = lambda i: F.coalesce(F.get(numbers, F.lit(i)), F.lit(0.0))
         size = part(0) + part(1) / 60 + part(2) / 3600
-        return F.when(F.substring(one, -1, 1).isin("S", "W"), -size).otherwise(size)
+        letter = F.regexp_extract(one, "([NSEW])", 1)
+        whole = (F.size(numbers) <= 3) & (part(1) < 60) & (part(2) < 60) & (size <= F.when(letter.isin("N", "S"), 90).otherwise(180))
+        return F.when(whole, F.when(letter.isin("S", "W"), -size).otherwise(size))
 
-    return F.transform(found, value)
+    return F.filter(F.transform(found, value), lambda v: v.isNotNull())
 
 
 def given_names_agree(a: Column, b: Column) -> Column:

@@ -69,7 +69,7 @@ def collapsed(assigned: DataFrame, area: str, parents: dict, least: int) -> Data
     return assigned.join(F.broadcast(table), F.col(area) == F.col("__k"), "left").withColumn(area, F.coalesce("__v", area)).drop("__k", "__v")
 
 
-def _checkpoints(spark: SparkSession) -> None:
+def checkpoints(spark: SparkSession) -> None:
     """Name the folder of checkpoints: the session's own, or in a local session a new one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
@@ -90,7 +90,7 @@ def roots(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     Each round doubles the reach of every pointer, and rounds go on while they settle nodes. Nodes that lead
     into a cycle have no root: they keep a node of the cycle and a null depth. A parent that is no node is the root.
     """
-    _checkpoints(nodes.sparkSession)
+    checkpoints(nodes.sparkSession)
     top = F.col(parent).isNull() | (F.col(parent) == F.col(key))
     given = nodes.select(key, F.when(top, F.col(key)).otherwise(F.col(parent)).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done"))
     known = given.select(F.col(key).alias("__k"))
@@ -113,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is checkpointed, so plans stay short and a lost executor costs one round.
     """
-    _checkpoints(edges.sparkSession)
+    checkpoints(edges.sparkSession)
     both = either_end(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")).distinct().checkpoint()
     labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")).checkpoint()
     while True:

@@ -395,9 +395,11 @@ def farthest_vectors(t: Tables) -> DataFrame:
 # Parsers.
 
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN [(c_custkey % 90) + 0.25] WHEN 1 THEN [-((c_custkey % 90) + 30 / 60.0)] ELSE [(c_custkey % 90)::DOUBLE, -((c_custkey % 180) + 15 / 60.0 + 36 / 3600.0)] END::DOUBLE[] AS places FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN [] WHEN c_custkey % 7 = 1 THEN [(c_custkey % 90) + 0.5, -((c_custkey % 180) + 0.25)] WHEN c_custkey % 7 = 2 THEN [(c_custkey % 90) + 0.5] ELSE CASE c_custkey % 3 WHEN 0 THEN [(c_custkey % 90) + 0.25] WHEN 1 THEN [-((c_custkey % 90) + 30 / 60.0)] ELSE [(c_custkey % 90)::DOUBLE, -((c_custkey % 180) + 15 / 60.0 + 36 / 3600.0)] END END::DOUBLE[] AS places FROM customer")
 def parsed_places(t: Tables) -> DataFrame:
-    said = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('at ', c_custkey % 90, '.25°N') WHEN 1 THEN concat(c_custkey % 90, '°30''S') ELSE concat(c_custkey % 90, '°N ', c_custkey % 180, '°15''36\"W') END")
+    said = F.expr("""CASE WHEN c_custkey % 7 = 0 THEN concat('No Exit, 3 4 5 6', c_custkey, 'N and 12 99 E')
+        WHEN c_custkey % 7 = 1 THEN concat('N ', c_custkey % 90, '° 30\\' W ', c_custkey % 180, '° 15\\'') WHEN c_custkey % 7 = 2 THEN concat('lat ', c_custkey % 90, ',5°N')
+        ELSE CASE c_custkey % 3 WHEN 0 THEN concat('at ', c_custkey % 90, '.25°N') WHEN 1 THEN concat(c_custkey % 90, '°30\\'S') ELSE concat(c_custkey % 90, '°N ', c_custkey % 180, '°15\\'36\\"W') END END""")
     return t.customer.withColumn("said", said).select("c_custkey", angles("said").alias("places"))
 
 
@@ -406,8 +408,9 @@ _places = PLANS.queries["parsed_places"]
 PLANS.queries["parsed_places"] = lambda spark, sf_dir: _places(spark, sf_dir).select("c_custkey", F.posexplode("places").alias("k", "place")).select("c_custkey", (F.col("k") + 1).cast("long").alias("k"), F.round("place", 9).alias("place"))
 
 
-@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS fiscal_year, round(o_totalprice, 2) AS amount FROM orders UNION ALL SELECT o_orderkey, 2001, 7.0 FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS fiscal_year, round(o_totalprice, 2) AS amount FROM orders WHERE o_orderkey % 5 > 0 UNION ALL SELECT o_orderkey, 2001, 7.0 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 > 0")
 def parsed_amounts(t: Tables) -> DataFrame:
     amount = "replace(format_number(o_totalprice, 2), ' ', '')"
-    said = F.expr(f"concat('FY ', year(o_orderdate), if(o_orderkey % 3 = 0, ' = ', ' = $'), {amount}, if(o_orderkey % 2 = 0, '; FY2001 = $7', ' total'))")
+    loose = "element_at(array('FY 2018 $5', 'the FY report', 'FY 2019=$1.2.3', 'FY =', 'FY 20x1 = $4', '', 'FYFY = = 3'), int(1 + o_custkey % 7))"
+    said = F.expr(f"if(o_orderkey % 5 = 0, {loose}, concat('FY ', year(o_orderdate), if(o_orderkey % 3 = 0, ' = ', ' = $'), {amount}, if(o_orderkey % 2 = 0, '; FY2001 = $7', ' total')))")
     return t.orders.withColumn("said", said).select("o_orderkey", F.inline(yearly_amounts("said")))

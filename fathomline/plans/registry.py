@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.plans import canned, edges, filters, funding, further, linkage, measures, resolution, space, upserts
+from fathomline.plans import canned, edges, filters, funding, further, linkage, matching, measures, resolution, space, upserts
 
-_PLANS = [m.PLANS for m in (funding, filters, edges, measures, upserts, resolution, linkage, space, canned, further)]
+_PLANS = [m.PLANS for m in (funding, filters, edges, measures, upserts, resolution, linkage, space, canned, further, matching)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

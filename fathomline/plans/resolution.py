@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as x
-from fathomline.operators.fuzzy import fuzzy_join, overlap, tokens
+from fathomline.operators.fuzzy import overlap, tokens
 from fathomline.operators.keys import contested, resolve_by_ids, resolve_cascade, top_per_group
 from fathomline.operators.predicates import first_rule
 from fathomline.plans.define import Plans, Tables
@@ -118,11 +118,3 @@ def keys_and_dates(t: Tables) -> DataFrame:
     told = F.format_string("%d/%d/%d", 1 + F.col("c_custkey") % 12, 1 + F.col("c_custkey") % 28, 1995 + F.col("c_custkey") % 8)
     return t.customer.withColumn("told", told).select(
         "c_custkey", x.fiscal_year(x.us_date("told")).alias("fy"), x.slug("c_name").alias("slug"), x.short_key("c_name", "c_mktsegment").alias("key"))
-
-
-@query()
-def fuzzy_names(t: Tables) -> DataFrame:
-    """Part names that agree as token sets, among pairs that share a token; others are lost."""
-    a = t.part.select(F.col("p_name").alias("left_name")).distinct()
-    b = t.part.select(F.concat(F.col("p_name"), F.lit(" mk2")).alias("right_name")).distinct()
-    return fuzzy_join(a, b, "left_name", "right_name", 80.0).select("left_name", "right_name", F.round("score", 6).alias("score"))
