@@ -7,7 +7,7 @@ treatment. Sketches go first; sets follow for the pairs that these can't rule ou
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import arrow_rows, small, written
@@ -21,12 +21,40 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (node, rk) in ``wanted`` (e)."""
+    found = written(nodes.join(wanted, F.col("node") == F.col("e"), "left_semi").select("node", ROW_KEY), "wanted")
+    texts = docs.select(row_key().alias("k"), F.col("text").cast("binary").alias("text"))
+    return texts.join(small(found), F.col("k") == F.col(ROW_KEY)).select("node", "text")
+
+
+def first_in_common(docs: DataFrame, nodes: DataFrame, crowd: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): nodes of the crowd (e, size, label) of different labels that may be alike by the first shingle in common.
+
+    Shingles are ordered by how many of the crowd hold them, rare ones first. Two sets that are alike enough have one in common
+    among the first ``100 - percent`` in a hundred of either, and what stands before it in either isn't in common. So texts
+    that were each changed in places of their own make no pairs, however many there are. No pair that is alike is left out.
+    """
+
+    def run(batches):
+        for b in batches:
+            yield {"n": b["node"], "held": [shingle_set(t, words).view("<i8") for t in b["text"]]}
+
+    rows = arrow_rows(texts_of(docs, nodes, crowd.select("e")), "n long, held array<long>", run).dropDuplicates(["n"])
+    rows = written(rows.join(small(crowd), F.col("n") == F.col("e")).select("n", "size", "label", F.explode("held").alias("shingle")), "crowd")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("n").orderBy("c", "shingle")
+    placed = rows.join(held, "shingle").withColumn("at", F.row_number().over(order) - 1)
+    first = written(placed.where(f"c > 1 AND 100 * at <= {100 - percent} * size").select("shingle", "n", "size", "label", "at"), "first")
+    x = first.select("shingle", F.col("n").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"), F.col("at").alias("at_a"))
+    y = first.select("shingle", F.col("n").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("at_b"))
+    fits = f"a < b AND la <> lb AND {100 + percent} * least(na - at_a, nb - at_b) >= {percent} * (na + nb)"
+    return x.join(y, "shingle").where(fits).select("a", "b").distinct()
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """(n, size, sketch, held): the shingle sets of the nodes (node, rk) in the pairs (a, b), each once."""
-    ends = pairs.select(F.col("a").alias("e")).unionAll(pairs.select("b")).distinct()
-    wanted = written(nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select("node", ROW_KEY), "wanted")
-    texts = docs.select(row_key().alias("k"), F.col("text").cast("binary").alias("text"))
-    given = texts.join(small(wanted), F.col("k") == F.col(ROW_KEY)).select("node", "text")
+    given = texts_of(docs, nodes, pairs.select(F.col("a").alias("e")).unionAll(pairs.select("b")).distinct())
 
     def run(batches):
         done = set()  # repeated rows of a task give their set once

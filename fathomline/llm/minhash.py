@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.alike import alike, row_key, sets_of
+from fathomline.llm.alike import alike, first_in_common, row_key, sets_of
 from fathomline.llm.common import arrow_rows, small, written
 from fathomline.llm.components import components, merged
 from fathomline.llm.shingles import node_of, shingle_set
@@ -27,6 +27,8 @@ PLACES = 337
 BITS = 320
 #: Fewer agreeing bits than so many are 6 standard deviations under what 0.85 gives.
 AGREEING = 267
+#: In a bucket of more nodes of different classes, pairs must also meet on a first shingle in common.
+CROWD = 16
 #: Shingles that are held at once.
 HELD = 1 << 18
 FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -111,12 +113,11 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
     return arrow_rows(raw, "doc_id long, rk long, n long, node long, keys array<long>, sketch array<long>", run)
 
 
-def _met(rows: DataFrame, percent: int, condition: str) -> DataFrame:
-    """(a, b): nodes that share a band, may be alike by their sizes, and meet the condition."""
-    a = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in rows.columns if c != "key"))
-    b = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in rows.columns if c != "key"))
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {condition}"
-    return a.join(b, "key").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of different labels that share a band and may be alike by their sizes."""
+    x = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    return x.join(y, "key").where(f"a < b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
 
 
 def _by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,13 +144,21 @@ def _to_heaviest(shared: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
 
 
+def _apart(docs: DataFrame, rest: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): pairs of different classes that share a band; in crowded buckets, those that also meet on a first shingle in common."""
+    crowds = rest.groupBy("key").agg(F.count("*").alias("c")).where(f"c > {CROWD}").select(F.col("key").alias("k"))
+    crowd = rest.join(crowds, F.col("key") == F.col("k"), "left_semi").select(F.col("node").alias("e"), F.col("n").alias("size"), "label").distinct()
+    few = rest.join(crowds, F.col("key") == F.col("k"), "left_anti")
+    return _met(few, percent).unionAll(first_in_common(docs, named, written(crowd, "crowds"), words, percent)).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents link whose sets of distinct word shingles have 100 * intersection >= percent * union; every link is
     confirmed on the whole sets. Copies fold into one node first. In each band bucket a node is compared with
-    the heaviest one; then all pairs of a bucket that are still in different classes are compared, however
-    many there are. Only the chance of meeting in no band (1e-8 at 0.85, less above) and of a sketch 6 deviations off
+    the heaviest one; then all pairs of a bucket that are still in different classes are compared, but for those that
+    sizes or the places of shared shingles rule out. Only the chance of meeting in no band (1e-8 at 0.85, less above) and of a sketch 6 deviations off
     can lose a link; at percentages under 85 both grow.
 
     Fewer words than a shingle make one shingle; null texts and texts without words have no shingles and link with nothing.
@@ -173,8 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
         "key", "node", "n", F.coalesce("label", "node").alias("label"))
     apart = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("key").alias("k"))
     rest = written(classed.join(apart, F.col("key") == F.col("k"), "left_semi"), "apart")
-    left = _met(rest, percent, "node_a < node_b AND label_a <> label_b").join(small(pairs), ["a", "b"], "left_anti")
-    left = written(_by_sketch(written(left, "met"), nodes), "pairs")
+    left = written(_apart(docs, rest, named, words, percent).join(small(pairs), ["a", "b"], "left_anti"), "met")
+    left = written(_by_sketch(left, nodes), "pairs")
     found = written(alike(left, sets_of(docs, named, left, words), percent), "links")
     joined = merged(labels, found)
     rooted = nodes.select("node", "least_id").join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select(
