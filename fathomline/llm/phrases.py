@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +71,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def word_key(lang: str, word: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(lang.encode() + b" " + word) or 1
 
 
@@ -111,14 +110,17 @@ class Keys(dict):
     """Word -> key; zero for words that aren't frequent and for ends of pieces. Filled as words come."""
 
     def __init__(self, lang: str, frequent: Bitmap):
-        self.lang, self.frequent = lang, frequent
+        self.start, self.bits, self.mask = lang.encode() + b" ", memoryview(frequent.sent.value), frequent.mask
+        self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        key = 0 if word == b"." else word_key(self.lang, word)
-        self[word] = key if key and self.frequent(np.array([key], np.uint64))[0] else 0
-        return self[word]
+            self[b"."] = 0
+        key = xxhash.xxh64_intdigest(self.start + word) or 1
+        a, b = key & self.mask, key >> 32 & self.mask
+        found = self[word] = key if self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1 else 0
+        return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
