@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.operators.graph import checkpoints
+
 EARTH_KM = 6371.0
 
 
@@ -43,26 +45,33 @@ def polygon_join(points: DataFrame, polygons: DataFrame, x: str, y: str, rings:
 def nearest(points: DataFrame, targets: DataFrame, point: str, reaches: tuple[int, ...] = (3, 12, 45, 180)) -> DataFrame:
     """(point, target, km): the nearest of all targets; ties go to the smaller id.
 
-    The bands around a point widen, across 180 degrees too, only while a target outside them could be nearer; those of
-    the last reach hold every target. Points without a place are left out, as targets are.
+    Points look at their own and the neighbouring cells of latitude and longitude, across 180 degrees too. Cells grow (their
+    degrees divide 360) only for points to which a target further away could be nearer, which are written down in between; the last cells
+    hold every target. Points without a place are left out, as targets are.
     """
-    left = points.select(F.col(point), F.col("lat").alias("__lat"), F.col("lng").alias("__lng")).where("__lat IS NOT NULL AND __lng IS NOT NULL")
-    band = "CAST(pmod(floor({}), 360) AS INT)"
-    t = targets.select("target", F.col("lat").alias("__tlat"), F.col("lng").alias("__tlng"), F.expr(band.format("lng")).alias("__band")).where("__tlat IS NOT NULL AND __tlng IS NOT NULL")
+    checkpoints(points.sparkSession)
+    left = points.select(F.col(point), F.col("lat").cast("double").alias("__lat"), F.col("lng").cast("double").alias("__lng")).where("__lat IS NOT NULL AND __lng IS NOT NULL")
+    given = targets.select("target", F.col("lat").cast("double").alias("__tlat"), F.col("lng").cast("double").alias("__tlng")).where("__tlat IS NOT NULL AND __tlng IS NOT NULL")
     km = haversine_km("__lat", "__lng", "__tlat", "__tlng")
     keep, done = [point, "__lat", "__lng"], None
     for reach in reaches:
-        around = F.explode(F.expr(f"array_distinct(transform(sequence(-{reach}, {reach}), i -> CAST(pmod(floor(__lng) + i, 360) AS INT)))"))
-        near = left.withColumn("__band", around).join(t, "__band", "left")
-        best = near.withColumn("km", km).groupBy(*keep).agg(F.min(F.when(F.col("km").isNotNull(), F.struct("km", "target"))).alias("b"))
+        row, turn = "CAST(floor({} / " + str(reach) + ") AS INT)", 360 // reach
+        near = f"transform(sequence(-1, 1), j -> struct({row.format('__lat')} + i AS a, pmod({row.format('__lng')} + j, {turn}) AS b))"
+        around = F.explode(F.expr(f"array_distinct(flatten(transform(sequence(-1, 1), i -> {near})))"))
+        t = given.withColumn("__cell", F.expr(f"struct({row.format('__tlat')} AS a, pmod({row.format('__tlng')}, {turn}) AS b)"))
+        met = left.withColumn("__cell", around).join(t, "__cell", "left").withColumn("km", km)
+        best = met.groupBy(*keep).agg(F.min(F.when(F.col("km").isNotNull(), F.struct("km", "target"))).alias("b")).checkpoint()
         if reach < reaches[-1]:
-            # no target outside is nearer than the meridian so many degrees away
-            sure = F.lit(EARTH_KM) * F.asin(F.cos(F.radians("__lat")) * F.sin(F.radians(F.lit(float(reach)))))
+            # no target in other cells is nearer than the meridian or the parallel so many degrees away
+            wide = F.lit(EARTH_KM) * F.asin(F.cos(F.radians("__lat")) * F.sin(F.radians(F.lit(float(min(reach, 90))))))
+            sure = F.least(wide, F.lit(EARTH_KM) * F.radians(F.lit(float(reach))))
             settled = F.coalesce(F.col("b.km") < sure - 1e-6, F.lit(False))
             left = best.where(~settled).select(*keep)
             best = best.where(settled)
         best = best.select(point, "b.target", "b.km")
         done = best if done is None else done.unionAll(best)
+        if reach < reaches[-1] and not left.limit(1).count():
+            break
     return done
 
 

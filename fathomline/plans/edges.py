@@ -182,16 +182,6 @@ def deep_rollup(t: Tables) -> DataFrame:
     return roots(h, "node", "parent")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_orderkey AS o FROM lineitem WHERE l_quantity >= 45 AND l_discount >= 0.07),
-p AS (SELECT x.a AS a, z.a AS b FROM e x JOIN e z USING (o) WHERE x.a <> z.a),
-r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
-SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a
-""")
-def dedup_components(t: Tables) -> DataFrame:
-    return components(_to_least(t.lineitem.where("l_quantity >= 45 AND l_discount >= 0.07")))
-
-
 def _to_least(lines: DataFrame) -> DataFrame:
     """(a, b): each part of an order with the order's least part, which connects what all pairs would."""
     e = lines.where("l_partkey IS NOT NULL AND l_orderkey IS NOT NULL").select("l_orderkey", "l_partkey").distinct()

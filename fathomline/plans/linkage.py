@@ -107,14 +107,6 @@ def judge_candidates(t: Tables) -> DataFrame:
     return records.judged(c, "k", [("status", F.col("o_orderstatus") != "F"), ("price", F.col("o_totalprice") > 100000)], [F.col("pri")])
 
 
-@query("""
-WITH u AS (SELECT trim(url) AS url, 'pages' AS label FROM pages UNION ALL SELECT trim(url), 'mirror' FROM pages WHERE page_id % 3 = 0)
-SELECT url, string_agg(DISTINCT label, ', ' ORDER BY label) AS used_in, count(*) AS n FROM u WHERE url <> '' GROUP BY ALL
-""")
-def url_inventory(t: Tables) -> DataFrame:
-    return records.url_inventory([(t.pages, "url", "pages"), (t.pages.where("page_id % 3 = 0"), "url", "mirror")])
-
-
 @query("""
 WITH u AS (SELECT trim(url) AS url, 'pages' AS label FROM pages UNION ALL
   SELECT trim(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1))), 'links' FROM pages)

@@ -26,19 +26,6 @@ def haversine_nearest(t: Tables) -> DataFrame:
     return nearest(points, targets, "c_custkey").select("c_custkey", "target", F.round("km", 4).alias("km"))
 
 
-PLANS.queries["haversine_nearest_all"], PLANS.oracles["haversine_nearest_all"] = PLANS.queries["haversine_nearest"], PLANS.oracles["haversine_nearest"]
-
-
-@query(f"""
-WITH p AS (SELECT c_custkey, {_PLACE.format(k='c_custkey')} FROM customer),
-g AS (SELECT s_suppkey, s_nationkey * 12 - 160 AS x, s_suppkey % 9 * 12 - 55 AS y FROM supplier WHERE s_suppkey < 60)
-SELECT c_custkey, s_suppkey FROM p JOIN g ON lng > x AND lng < x + 8 AND lat > y AND lat < y + 8 - (lng - x)
-  AND NOT (lng > x + 1 AND lng < x + 2 AND lat > y + 1 AND lat < y + 2)
-""")
-def point_in_polygon(t: Tables) -> DataFrame:
-    return _in_polygons(t, t.supplier.where("s_suppkey < 60"))
-
-
 def _in_polygons(t: Tables, suppliers: DataFrame) -> DataFrame:
     points = t.customer.selectExpr("c_custkey", *_PLACE.format(k="c_custkey").replace("e0", "D").split(", "))
     corner = suppliers.selectExpr("s_suppkey", "CAST(s_nationkey * 12 - 160 AS DOUBLE) AS x", "CAST(s_suppkey % 9 * 12 - 55 AS DOUBLE) AS y")
@@ -55,7 +42,7 @@ SELECT c_custkey, s_suppkey FROM p JOIN g ON lng > x AND lng < x + 8 AND lat > y
   AND NOT (lng > x + 1 AND lng < x + 2 AND lat > y + 1 AND lat < y + 2)
 """)
 def point_in_polygon_all(t: Tables) -> DataFrame:
-    """point_in_polygon with a polygon of every supplier."""
+    """Customers in the polygons of all suppliers."""
     return _in_polygons(t, t.supplier)
 
 

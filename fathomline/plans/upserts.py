@@ -118,18 +118,6 @@ def primary_flip(t: Tables) -> DataFrame:
     return upsert.flip_primary(prim, owners, "id", "sphere", "R", ["X"])
 
 
-@query("""
-SELECT 'order without customer' AS rule, (SELECT count(*) FROM orders WHERE o_custkey >= 1000 OR o_custkey NOT IN (SELECT c_custkey FROM customer)) AS violations
-UNION ALL SELECT 'line without part', (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
-""")
-def qa_orphans(t: Tables) -> DataFrame:
-    rules = [
-        quality.Rule("order without customer", lambda: quality.orphans(t.orders, "o_custkey", t.customer.where("c_custkey < 1000"), "c_custkey")),
-        quality.Rule("line without part", lambda: quality.orphans(t.lineitem, "l_partkey", t.part, "p_partkey")),
-    ]
-    return quality.report(t.spark, rules).drop("passed")
-
-
 @query("""
 SELECT 'order without customer' AS rule, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS violations
 UNION ALL SELECT 'line without part', (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
