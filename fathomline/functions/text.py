@@ -75,9 +75,18 @@ def organisation(text: str | Column) -> Column:
     return F.array_join(F.filter(F.split(c, r"\s+"), lambda t: (t != "") & ~t.isin(*CONNECTORS)), " ")
 
 
-def distinctive_tokens(text: str | Column) -> Column:
+#: Further words that tell nothing about which site it is.
+GENERIC_SITE_WORDS = ("experimental", "forest", "range", "station", "field", "observatory", "monitoring", "watershed")
+
+
+def distinctive_tokens(text: str | Column, generic: Sequence[str] = GENERIC_WORDS) -> Column:
     """The distinct words of three letters or more of a name for comparison that generic names don't share."""
-    return F.array_distinct(F.filter(F.split(organisation(text), " "), lambda t: (F.length(t) >= 3) & ~t.isin(*GENERIC_WORDS)))
+    return distinctive(organisation(text), generic)
+
+
+def distinctive(compared: Column, generic: Sequence[str] = GENERIC_WORDS) -> Column:
+    """As distinctive_tokens, from a name that is ready for comparison; in the order of the name."""
+    return F.array_distinct(F.filter(F.split(compared, " "), lambda t: (F.length(t) >= 3) & ~t.isin(*generic)))
 
 
 def orcid(text: str) -> Column:
