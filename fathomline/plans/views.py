@@ -65,7 +65,12 @@ class Views:
         return f.selectExpr("facility_id AS id", "canonical_name AS name", "acronym", "facility_type AS type", "country", "region", "hq_lat AS lat", "hq_lng AS lng", "url", "parent_org")
 
     def v_facility_enriched(self) -> DataFrame:
-        base = self._t("facilities").select("facility_id", "canonical_name", "acronym", "facility_type", "country", "hq_lat", "hq_lng", "url")
+        """Facilities with their lists. What older tables don't have is null, and lists of layers that aren't there are empty."""
+        held = self._t("facilities")
+        later = {"parent_org": "string", "established": "int", "record_length_years": "int", "long_term_threshold_met": "boolean", "data_portal_url": "string"}
+        base = held.select(
+            "facility_id", "canonical_name", "acronym", "facility_type", "country", "hq_lat", "hq_lng", "url",
+            *((F.col(c) if c in held.columns else F.lit(None).cast(t)).alias(c) for c, t in later.items()))
         areas = self._t("area_links").join(self._t("research_areas"), "area_id")
         networks = self._t("network_membership").join(self._t("networks"), "network_id")
         funders = self._t("funding_events").select("facility_id", "funder_id").distinct().join(self._t("funders"), "funder_id")
@@ -75,8 +80,17 @@ class Views:
             (listed(networks, "facility_id", ("label", "networks")), ("networks",)),
             (listed(funders, "facility_id", ("name", "funders")), ("funders",)),
             (listed(regions, "facility_id", ("name", "regions")), ("regions",)),
+            (self._layer("facility_spheres", "sphere_slug", "spheres", "spheres"), ("spheres",)),
+            (self._layer("facility_ecosystems", "ecosystem_slug", "ecosystem_types", "ecosystem_types"), ("ecosystem_types",)),
         ])
 
+    def _layer(self, links: str, slug: str, labels: str, name: str) -> DataFrame:
+        """(facility_id, name): the labels of a layer's entries; no rows where one of its tables lacks."""
+        a, b = self.catalog.get(links), self.catalog.get(labels)
+        if a is None or b is None:
+            return self._t("facilities").select("facility_id", F.array().cast("array<string>").alias(name)).limit(0)
+        return listed(a.select("facility_id", F.col(slug).alias("slug")).join(b.select("slug", "label"), "slug"), "facility_id", ("label", name))
+
     def v_region_enriched(self) -> DataFrame:
         labels = self._t("networks").select("network_id", F.col("label").alias("network_label"))
         base = self._t("regions").join(labels, "network_id", "left").select(

@@ -97,6 +97,18 @@ def test_views(spark, table, tmp_path):
     v = Views(Catalog(spark, str(tmp_path)))
     rich = {r.facility_id: r for r in v.v_facility_enriched().collect()}
     assert (rich["f1"].research_areas, rich["f1"].funders, rich["f1"].regions) == (["Coral"], ["NGO", "NSF"], ["Bay"]) and rich["f2"].networks == []
+    assert (rich["f1"].spheres, rich["f1"].ecosystem_types, rich["f1"].parent_org, rich["f1"].established) == ([], [], "p", None)
+    more = {
+        "facilities": table([("f1", "Lab", "L", "t", "US", 1.0, 2.0, "u", "p", 1950, 70, True, "d")], "facility_id string, canonical_name string, acronym string, facility_type string, country string, hq_lat double, hq_lng double, url string, parent_org string, established int, record_length_years int, long_term_threshold_met boolean, data_portal_url string"),
+        "facility_spheres": table([("f1", "b"), ("f1", "a"), ("f1", "b"), ("f9", "a")], "facility_id string, sphere_slug string"),
+        "spheres": table([("a", "Air"), ("b", "Biosphere")], "slug string, label string"),
+        "facility_ecosystems": table([("f1", "e"), ("f1", "x")], "facility_id string, ecosystem_slug string"),
+        "ecosystem_types": table([("e", "Estuary")], "slug string, label string"),
+    }
+    for name, df in (t | more).items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/more/{name}.parquet")
+    one = Views(Catalog(spark, f"{tmp_path}/more")).v_facility_enriched().first()
+    assert (one.spheres, one.ecosystem_types, one.established, one.record_length_years, one.long_term_threshold_met, one.data_portal_url) == (["Air", "Biosphere"], ["Estuary"], 1950, 70, True, "d")
     assert [r.id for r in v.v_facility_map().collect()] == ["f1"]
     assert rows(v.v_region_enriched().select("network_label", "facilities", "facility_count")) == [("Net", ["Lab"], 1)]
     assert rows(v.v_facility_funding_by_year().select("facility_id", "fiscal_year", "total_usd_nominal", "n_awards")) == [("f1", 2020, 15.0, 2), ("f2", 1900, 2.0, 1)]
