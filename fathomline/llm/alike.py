@@ -14,6 +14,8 @@ from fathomline.llm.common import arrow_rows, small, written
 from fathomline.llm.shingles import may_be_alike, shingle_set, sketch
 
 ROW_KEY = "rk"
+#: Texts whose sets a task holds at once.
+HELD = 256
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -38,7 +40,8 @@ def first_in_common(docs: DataFrame, nodes: DataFrame, crowd: DataFrame, words:
 
     def run(batches):
         for b in batches:
-            yield {"n": b["node"], "held": [shingle_set(t, words).view("<i8") for t in b["text"]]}
+            for lo in range(0, len(b["text"]), HELD):
+                yield {"n": b["node"][lo : lo + HELD], "held": [shingle_set(t, words).view("<i8") for t in b["text"][lo : lo + HELD]]}
 
     rows = arrow_rows(texts_of(docs, nodes, crowd.select("e")), "n long, held array<long>", run).dropDuplicates(["n"])
     rows = written(rows.join(small(crowd), F.col("n") == F.col("e")).select("n", "size", "label", F.explode("held").alias("shingle")), "crowd")
@@ -59,15 +62,16 @@ def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
     def run(batches):
         done = set()  # repeated rows of a task give their set once
         for b in batches:
-            held = []
-            for n, t in zip(b["node"], b["text"], strict=True):
-                if n not in done:
-                    done.add(n)
-                    held.append((n, shingle_set(t, words)))
-            yield {
-                "n": [n for n, _ in held], "size": [len(h) for _, h in held],
-                "sketch": [sketch(h) for _, h in held], "held": [h.tobytes() for _, h in held],
-            }
+            for lo in range(0, len(b["text"]), HELD):
+                held = []
+                for n, t in zip(b["node"][lo : lo + HELD], b["text"][lo : lo + HELD], strict=True):
+                    if n not in done:
+                        done.add(n)
+                        held.append((n, shingle_set(t, words)))
+                yield {
+                    "n": [n for n, _ in held], "size": [len(h) for _, h in held],
+                    "sketch": [sketch(h) for _, h in held], "held": [h.tobytes() for _, h in held],
+                }
 
     found = written(arrow_rows(given, "n long, size long, sketch binary, held binary", run), "sets")
     repeated = found.groupBy("n").count().where("count > 1").limit(1).count()

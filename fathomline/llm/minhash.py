@@ -29,8 +29,8 @@ BITS = 320
 AGREEING = 267
 #: In a bucket of more nodes of different classes, pairs must also meet on a first shingle in common.
 CROWD = 16
-#: Shingles that are held at once.
-HELD = 1 << 18
+#: Shingles and texts that are held at once.
+HELD, TEXTS = 1 << 17, 256
 FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -99,12 +99,12 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = b["text"]
-            for lo in range(0, len(texts), 512):
-                held = [shingle_set(t, words) for t in texts[lo : lo + 512]]
+            for lo in range(0, len(texts), TEXTS):
+                held = [shingle_set(t, words) for t in texts[lo : lo + TEXTS]]
                 least = signatures(held)
                 keys, bits = band_keys(least).view("<i8"), bit_sketch(least)
                 yield {
-                    "doc_id": b["doc_id"][lo : lo + 512], "rk": b["rk"][lo : lo + 512],
+                    "doc_id": b["doc_id"][lo : lo + TEXTS], "rk": b["rk"][lo : lo + TEXTS],
                     "n": [len(h) for h in held], "node": [node_of(h) if len(h) else None for h in held],
                     "keys": [k if len(h) else None for k, h in zip(keys, held, strict=True)],
                     "sketch": [k if len(h) else None for k, h in zip(bits, held, strict=True)],

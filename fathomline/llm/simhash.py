@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.alike import alike, row_key, sets_of
+from fathomline.llm.alike import HELD, alike, row_key, sets_of
 from fathomline.llm.common import arrow_rows, small, written
 from fathomline.llm.components import components, merged
 from fathomline.llm.shingles import node_of, shingle_hashes, shingle_set
@@ -228,13 +228,14 @@ def similarity_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     def run(batches):
         table = np.frombuffer(levels, np.uint8)
         for b in batches:
-            held = [shingle_set(t, words) for t in b["text"]]
-            bits = [marks(h) for h in held]
-            yield {
-                "doc_id": b["doc_id"], "rk": b["rk"], "n": [len(h) for h in held], "node": [node_of(h) for h in held],
-                "fp": [int(np.int64(np.uint64(majority(bit_counts(h), len(h))).view(np.int64))) for h in held],
-                "keys": [prefix(h, table, similarity).view("<i8") for h in held],
-            } | {m: [x[k] for x in bits] for k, m in enumerate(MARKS)}
+            for lo in range(0, len(b["text"]), HELD):
+                held = [shingle_set(t, words) for t in b["text"][lo : lo + HELD]]
+                bits = [marks(h) for h in held]
+                yield {
+                    "doc_id": b["doc_id"][lo : lo + HELD], "rk": b["rk"][lo : lo + HELD], "n": [len(h) for h in held], "node": [node_of(h) for h in held],
+                    "fp": [int(np.int64(np.uint64(majority(bit_counts(h), len(h))).view(np.int64))) for h in held],
+                    "keys": [prefix(h, table, similarity).view("<i8") for h in held],
+                } | {m: [x[k] for x in bits] for k, m in enumerate(MARKS)}
 
     columns = "doc_id long, rk long, n long, node long, fp long, keys array<long>" + "".join(f", {m} long" for m in MARKS)
     marked = written(arrow_rows(raw, columns, run), "prefixes")
