@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.graph import checkpoints
 from fathomline.operators.keys import _cols, either_end, top_per_group
 
 
@@ -55,37 +55,40 @@ def z_composite(df: DataFrame, group: str | Sequence[str], columns: Sequence[str
     return df.join(stats, keys).withColumn(name, total).select(*df.columns, name)
 
 
-def global_rank(df: DataFrame, column: str, name: str, pieces: int = 64) -> DataFrame:
-    """Rows before each row's value in ascending order (nulls first), without a one-task sort.
+def global_ranks(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """For each column, under its name: the rows before each row's value in ascending order (nulls first), without a one-task sort.
 
-    Values are counted, cut into pieces at approximate quantiles, counted up within pieces and
-    shifted by the pieces before; equal values share a piece, so the result is exact.
+    Columns of one type go together: their values are counted, dealt to as many ranges as the session has shuffle partitions, counted up within a
+    range and shifted by the ranges before. Equal values share a range, so the result is exact. The counted values are written down once, since
+    ranges that are drawn anew may differ.
     """
-    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
-    cuts = sorted(set(counts.where(F.col(column).isNotNull()).approxQuantile(column, [i / pieces for i in range(1, pieces)], 0.01)))
-    piece = F.lit(0)
-    for low, _ in pairwise([*cuts, None]):
-        piece = piece + F.when(F.col(column) > low, 1).otherwise(0)
-    placed = counts.withColumn("__piece", F.when(F.col(column).isNull(), -1).otherwise(piece))
-    sizes = placed.groupBy("__piece").agg(F.sum("__n").alias("__size"))
-    before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("__piece", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__piece").orderBy(F.col(column).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(bases, "__piece").select(
-        F.col(column).alias("__v"), (F.col("__base") + F.col("__in")).alias(name)
-    )
-    return df.join(ranked, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
+    checkpoints(df.sparkSession)
+    kinds: dict[str, list[str]] = {}
+    for c in names:
+        kinds.setdefault(dict(df.dtypes)[c], []).append(c)
+    out = df
+    for columns in kinds.values():
+        each = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))
+        counts = df.select(F.explode(each).alias("x")).groupBy("x.c", "x.v").agg(F.count("*").alias("n"))
+        placed = counts.repartitionByRange("c", F.col("v").asc_nulls_first()).withColumn("piece", F.spark_partition_id()).checkpoint()
+        before = Window.partitionBy("c").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        bases = placed.groupBy("c", "piece").agg(F.sum("n").alias("size")).select("c", "piece", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+        inside = Window.partitionBy("c", "piece").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        at = F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+        ranked = placed.join(bases, ["c", "piece"]).select("c", "v", at.alias("r")).checkpoint()
+        for c in columns:
+            one = ranked.where(F.col("c") == c).select(F.col("v").alias("__v"), F.col("r").alias(names[c]))
+            out = out.join(one, F.col(c).eqNullSafe(F.col("__v"))).drop("__v")
+    return out
 
 
 def percent_rank_score(df: DataFrame, weights: dict[str, float], name: str = "score") -> DataFrame:
     """Weighted sum of global percent ranks."""
-    total = F.greatest(F.count("*") - 1, F.lit(1)).alias("__of")
-    n = df.agg(total)
+    n = df.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("__of"))
     score = F.lit(0.0)
-    out = df
     for c, w in weights.items():
-        out = global_rank(out, c, f"__r_{c}")
         score = score + F.lit(w) * F.col(f"__r_{c}") / F.col("__of")
+    out = global_ranks(df, {c: f"__r_{c}" for c in weights})
     return out.crossJoin(F.broadcast(n)).withColumn(name, score).select(*df.columns, name)
 
 

@@ -81,19 +81,21 @@ nearest_of_all = nearest
 def farthest_points(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     """(key, turn): k points, each the farthest from those before it; the first is the smallest key, as are ties.
 
-    Every turn is one pass over the points, which keep their distance from the chosen ones; only the chosen point
+    Every turn is one pass over the points, which are written down with their distance from the chosen ones; only the chosen point
     reaches the driver.
     """
     spark = points.sparkSession
-    at = points.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    checkpoints(spark)
+    at = points.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(float("inf")).alias("gap")).where("x IS NOT NULL AND y IS NOT NULL").checkpoint()
     chosen: list[tuple] = []
     while len(chosen) < k:
-        gaps = [F.pow(F.col("x") - c[1], 2) + F.pow(F.col("y") - c[2], 2) for c in chosen]
-        gap = F.least(*gaps) if len(gaps) > 1 else gaps[0] if gaps else F.lit(0.0)
-        top = at.withColumn("gap", gap).agg(F.min(F.struct((-F.col("gap")).alias("g"), F.col(key).alias("k"), "x", "y")).alias("b")).first().b
-        if top is None or chosen and top.g >= 0:
+        top = at.agg(F.min(F.struct((-F.col("gap")).alias("g"), F.col(key).alias("k"), "x", "y")).alias("b")).first().b
+        if top is None or top.g >= 0:
             break
         chosen.append((top.k, top.x, top.y))
+        if len(chosen) < k:
+            gap = F.pow(F.col("x") - top.x, 2) + F.pow(F.col("y") - top.y, 2)
+            at = at.withColumn("gap", F.least("gap", gap)).checkpoint()
     kind = dict(points.dtypes)[key]
     return spark.createDataFrame([(c[0], i) for i, c in enumerate(chosen)], f"{key} {kind}, turn int")
 

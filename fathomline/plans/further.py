@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import angles, yearly_amounts
+from fathomline.operators.graph import checkpoints
 from fathomline.operators.keys import latest
 from fathomline.operators.spatial import farthest_points, nearest, polygon_join
 from fathomline.plans.define import Plans, Tables
@@ -190,10 +191,12 @@ def _top_sql(sorts: dict, most: int) -> str:
 
 
 def _tops(t: Tables, sorts: dict, most: int) -> DataFrame:
-    """(mode, place, k): the first cards by each mode; a mode is a top-k without a full sort."""
+    """(mode, place, k): the first cards by each mode; cards are made once, and a mode is a top-k without a full sort."""
     made = t.orders.groupBy("o_custkey").agg(F.count("*").alias("a"), F.countDistinct("o_orderpriority").alias("p"), F.countDistinct("o_orderstatus").alias("s"), F.round(F.sum("o_totalprice"), 2).alias("f"))
     cards = t.customer.join(made, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("country"), F.col("c_acctbal").alias("balance"), *(F.coalesce(c, F.lit(0)).alias(c) for c in "apsf"))
+    checkpoints(t.spark)
+    cards = cards.checkpoint()  # once for all modes
     out = None
     for mode, order in sorts.items():
         ordered = [F.expr(c.split(" DESC")[0]).desc_nulls_last() if " DESC" in c else F.col(c) for c in order]

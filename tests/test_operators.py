@@ -29,7 +29,7 @@ def test_z_composite_without_spread(table):
 def test_global_rank_with_ties_and_nulls(spark, table):
     values = [(float(i % 17),) for i in range(300)] + [(None,), (None,)]
     df = table(values, "v double")
-    found = {(r.v, r.r) for r in metrics.global_rank(df, "v", "r", pieces=5).collect()}
+    found = {(r.v, r.r) for r in metrics.global_ranks(df, {"v": "r"}).collect()}
     ordered = sorted(v for (v,) in values if v is not None)
     assert found == {(None, 0)} | {(v, 2 + ordered.index(v)) for v in ordered}
 
