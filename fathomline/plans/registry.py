@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.plans import canned, edges, filters, funding, further, linkage, matching, measures, products, resolution, semantics, shapes2d, space, upserts
+from fathomline.plans import canned, edges, filters, funding, further, layouts, linkage, matching, measures, products, resolution, semantics, shapes2d, space, upserts
 
-_PLANS = [m.PLANS for m in (funding, filters, edges, measures, upserts, resolution, linkage, space, canned, further, matching, semantics, products, shapes2d)]
+_PLANS = [m.PLANS for m in (funding, filters, edges, measures, upserts, resolution, linkage, space, canned, further, matching, semantics, products, shapes2d, layouts)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
