@@ -191,5 +191,5 @@ def _to_least(lines: DataFrame) -> DataFrame:
 
 @query()
 def dedup_components_all(t: Tables) -> DataFrame:
-    """dedup_components over all lines, without its filter; a recursive closure in SQL is too slow for that."""
+    """Parts that orders connect, over all lines; a recursive closure in SQL is too slow for that."""
     return components(_to_least(t.lineitem))

@@ -123,7 +123,7 @@ SELECT 'order without customer' AS rule, (SELECT count(*) FROM orders WHERE o_cu
 UNION ALL SELECT 'line without part', (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
 """)
 def qa_orphans_all(t: Tables) -> DataFrame:
-    """qa_orphans against all customers."""
+    """Orders without their customer and lines without their part."""
     rules = [
         quality.Rule("order without customer", lambda: quality.orphans(t.orders, "o_custkey", t.customer, "c_custkey")),
         quality.Rule("line without part", lambda: quality.orphans(t.lineitem, "l_partkey", t.part, "p_partkey")),
