@@ -76,7 +76,7 @@ l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY code
 SELECT CASE WHEN code IS NULL THEN 'unreachable' WHEN code < 2 THEN 'ok' WHEN code < 5 THEN 'moved' ELSE 'broken' END AS status, count(*) AS n FROM l GROUP BY ALL
 """)
 def sweep_latest(t: Tables) -> DataFrame:
-    s = t.events.select(F.col("user_id").alias("url"), F.when(F.col("value") <= 15, F.round("value").cast("int")).alias("code"), "ts", "event_id")
+    s = t.events.select(F.col("user_id").alias("url"), F.when(F.col("value") <= 15, F.rint("value").cast("int")).alias("code"), "ts", "event_id")
     best = latest(s, "url", F.col("code").isNull(), F.desc("ts"), F.col("event_id"))
     status = F.when(F.col("code").isNull(), "unreachable").when(F.col("code") < 2, "ok").when(F.col("code") < 5, "moved").otherwise("broken")
     return best.groupBy(status.alias("status")).agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathomline.operators.spatial import nearest_of_all
 from fathomline.plans import edges, linkage, space, upserts
@@ -57,6 +58,11 @@ def test_all_suppliers_and_customers_count(spark, table):
     assert {r.rule: r.violations for r in upserts.qa_orphans_all(t).collect()} == {"order without customer": 1, "line without part": 0}
 
 
+def test_codes_round_to_even(table):
+    events = table([(1, 1, 4.5), (2, 2, 5.5), (3, 3, 1.5), (4, 4, 16.0)], "event_id long, user_id long, value double").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert {r.status: r.n for r in linkage.sweep_latest(Fixture(events=events)).collect()} == {"moved": 2, "broken": 1, "unreachable": 1}
+
+
 def test_urls_of_links(table):
     t = Fixture(pages=table([(1, "http://a.org/", '<a href="http://b.org/">b</a>'), (2, "http://b.org/", None)], "page_id long, url string, html string"))
     assert {r.url: (r.used_in, r.n) for r in linkage.url_inventory_all(t).collect()} == {"http://a.org/": ("pages", 1), "http://b.org/": ("links, pages", 2)}
