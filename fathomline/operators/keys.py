@@ -46,20 +46,21 @@ def resolve_by_ids(df: DataFrame, registry: DataFrame, first: tuple[str, str], s
     )
 
 
-def resolve_cascade(df: DataFrame, key: str, rules: Sequence[DataFrame]) -> DataFrame:
+def resolve_cascade(df: DataFrame, key: str, rules: Sequence[DataFrame | tuple[Column, DataFrame]]) -> DataFrame:
     """(key, target, rule): the first rule that names exactly one target for a row wins.
 
-    Each rule is a table (key, target). A rule with several targets for a key names none, and
-    later rules may then decide.
+    Each rule is a table (key, target), or a value of the row and a table (value, target) that it is looked up in. A rule with
+    several targets for a key names none, and later rules may then decide. Tables are brought down to the least and
+    the greatest target of each value first, which tell one target from several, so a value with many targets makes one row.
     """
-    named = None
+    met, best = df, []
     for i, rule in enumerate(rules):
-        one = rule.select(F.col(key), "target").distinct().groupBy(key).agg(
-            F.count("*").alias("__n"), F.min("target").alias("target")
-        ).where("__n = 1").select(key, "target", F.lit(i).alias("rule"))
-        named = one if named is None else named.unionByName(one)
-    best = named.groupBy(key).agg(F.min(F.struct("rule", "target")).alias("b"))
-    return df.select(key).distinct().join(best, key, "left").select(key, "b.target", "b.rule")
+        value, targets = rule if isinstance(rule, tuple) else (F.col(key), rule.select(F.col(key).alias("value"), "target"))
+        ends = targets.where("value IS NOT NULL").groupBy(F.col("value").alias(f"__v{i}")).agg(F.min("target").alias(f"__lo{i}"), F.max("target").alias(f"__hi{i}"))
+        met = met.withColumn(f"__k{i}", value).join(ends, F.col(f"__k{i}") == F.col(f"__v{i}"), "left")
+        lo, hi = F.min(f"__lo{i}"), F.max(f"__hi{i}")
+        best.append(F.when(lo == hi, F.struct(lo.alias("target"), F.lit(i).alias("rule"))))
+    return met.groupBy(key).agg(F.coalesce(*best).alias("b")).select(key, "b.target", "b.rule")
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame, node_key: str, label: str, ends: tuple[str, str] = ("a", "b")) -> DataFrame:

@@ -84,9 +84,9 @@ def resolve_names(t: Tables) -> DataFrame:
         WHEN 1 THEN 'NATION_' || (o_custkey % 30) WHEN 2 THEN 'Supplier#' || lpad(CAST(o_custkey AS STRING), 9, '0') ELSE 'unknown' END AS name""")
     s = t.supplier
     rules = [
-        m.join(s, F.col("name") == F.col("s_name")).select("id", F.col("s_suppkey").alias("target")),
-        m.join(s, F.lower("name") == F.lower("s_name")).select("id", F.col("s_suppkey").alias("target")),
-        m.join(t.nation, F.col("name") == F.col("n_name")).join(s, F.col("s_nationkey") == F.col("n_nationkey")).select("id", F.col("s_suppkey").alias("target")),
+        (F.col("name"), s.select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("target"))),
+        (F.lower("name"), s.select(F.lower("s_name").alias("value"), F.col("s_suppkey").alias("target"))),
+        (F.col("name"), t.nation.join(s, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("value"), F.col("s_suppkey").alias("target"))),
     ]
     return resolve_cascade(m, "id", rules)
 

@@ -116,6 +116,13 @@ def test_cascade_prefers_first_unique_rule(table):
     assert rows(keys.resolve_cascade(df, "id", [a, b])) == [(1, "x", 0), (2, "v", 1), (3, None, None)]
 
 
+def test_cascade_looks_values_up_once(table):
+    df = table([(1, "many"), (2, "one"), (2, "two"), (3, "one"), (4, None), (5, "none"), (5, "one")], "id int, name string")
+    many = table([("many", k) for k in range(200)] + [("one", 7), ("one", 7), ("two", 8), (None, 9)], "value string, target int")
+    found = keys.resolve_cascade(df, "id", [(F.col("name"), many), (F.upper("name"), table([("MANY", 3)], "value string, target int"))])
+    assert rows(found) == [(1, 3, 1), (2, None, None), (3, 7, 0), (4, None, None), (5, 7, 0)]
+
+
 def test_contested(table):
     df = table([("k", 1), ("k", 2), ("l", 3), ("l", 3)], "c string, o int")
     assert rows(keys.contested(df, "c", "o").distinct()) == [("l", 3)]
