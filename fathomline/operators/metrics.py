@@ -103,12 +103,24 @@ def tier_cut(df: DataFrame, score: str, pinned: str, core_size: int, key: str, n
     return df.join(core, key, "left").withColumn(name, F.coalesce(name, F.lit("archive")))
 
 
+#: Rows that a task gets where it holds what it makes of them.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to as many tasks as their number asks for, no fewer than the session's shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, 1 + df.count() // TASK_ROWS), *keys)
+
+
 def co_occurrence(df: DataFrame, item: str, member: str, year: str, least: int = 1, cap: float = 20.0) -> DataFrame:
     """(a, b, n, first_year, last_year, strength) for members a < b that share items.
 
-    Member rows of an item are made distinct first, so pairs are per item and not per row.
+    Member rows of an item are made distinct first, so pairs are per item and not per row. Items are dealt to a number of tasks that
+    grows with the rows, since a task counts its pairs before they shuffle.
     """
-    rows = df.select(item, member, year).where(f"{member} IS NOT NULL").groupBy(item, member).agg(F.max(year).alias("y"))
+    given = df.select(item, member, year).where(f"{member} IS NOT NULL AND {item} IS NOT NULL")
+    rows = dealt(given, item).groupBy(item, member).agg(F.max(year).alias("y"))
     a, b = rows.alias("x"), rows.alias("z")
     pairs = a.join(b, (F.col(f"x.{item}") == F.col(f"z.{item}")) & (F.col(f"x.{member}") < F.col(f"z.{member}")))
     return pairs.groupBy(F.col(f"x.{member}").alias("a"), F.col(f"z.{member}").alias("b")).agg(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.plans.define import Plans
+from fathomline.operators.metrics import co_occurrence
+from fathomline.plans.define import Plans, Tables
 from fathomline.sources.catalog import Catalog
 
 PLANS = Plans()
@@ -36,3 +38,16 @@ def _runner(sql: str):
 
 for _name, _sql in CANNED.items():
     PLANS.queries[_name], PLANS.oracles[_name] = _runner(_sql), _sql
+
+
+def _top_collaborations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canned question by pairs of keys, made by as many tasks as the lines ask for; names that several keys have are added up."""
+    t = Tables(spark, sf_dir)
+    pairs = co_occurrence(t.lineitem.select("l_orderkey", "l_suppkey", F.lit(0).alias("y")), "l_orderkey", "l_suppkey", "y").select("a", "b", "n")
+    name = lambda end: t.supplier.select(F.col("s_suppkey").alias(f"__{end}"), F.col("s_name").alias(f"{end}_name"))
+    named = pairs.join(name("a"), F.col("a") == F.col("__a"), "left").join(name("b"), F.col("b") == F.col("__b"), "left")
+    out = named.groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.sum("n").alias("n"))
+    return out.orderBy(F.desc("n"), F.asc_nulls_last("a"), F.asc_nulls_last("b")).limit(50)
+
+
+PLANS.queries["canned_top_collaborations"] = _top_collaborations

@@ -123,6 +123,14 @@ def test_cascade_looks_values_up_once(table):
     assert rows(found) == [(1, 3, 1), (2, None, None), (3, 7, 0), (4, None, None), (5, 7, 0)]
 
 
+def test_items_are_dealt_to_tasks_by_their_number(table, monkeypatch):
+    works = table([(i // 3, i * 7 % 10, 2000 + i % 5) for i in range(600)] + [(None, 1, 2000), (None, 2, 2000)], "w int, p int, y int")
+    found = rows(metrics.co_occurrence(works, "w", "p", "y"))
+    monkeypatch.setattr(metrics, "TASK_ROWS", 50)
+    assert metrics.dealt(works, "w").rdd.getNumPartitions() == 13
+    assert rows(metrics.co_occurrence(works, "w", "p", "y")) == found and sum(r[2] for r in found) == 600
+
+
 def test_contested(table):
     df = table([("k", 1), ("k", 2), ("l", 3), ("l", 3)], "c string, o int")
     assert rows(keys.contested(df, "c", "o").distinct()) == [("l", 3)]
