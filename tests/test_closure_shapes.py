@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from fathomline.operators import graph
 from fathomline.operators.closure import Rules, bridges, closure
 from fathomline.operators.shapes import REGISTRY_SHAPES, report
 
@@ -122,3 +123,12 @@ def test_each_shape_reports(table):
     }
     assert {k: n for k, (_, n) in got.items()} == want
     assert {k[1] for k in got} == {s.name for s in REGISTRY_SHAPES} and got["lto:people", "InternalProvenance", "not pattern"][0] == "Warning"
+
+
+def test_rounds_build_on_tables_read_anew(table):
+    from fathomline.operators import graph
+
+    edges = table([(i, i + 1) for i in range(20)], "a long, b long")
+    assert graph.components(edges).inputFiles()
+    classes, _ = closure(table([("x", "id", "1"), ("y", "id", "1")], "s string, p string, o string"), Rules(inverse_functional=("id",)))
+    assert classes.inputFiles() and {tuple(r) for r in classes.collect()} == {("x", "x"), ("y", "x")}
