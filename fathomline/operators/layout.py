@@ -6,12 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.operators.graph import checkpoints
+from fathomline.operators.graph import checkpoints, kept
 from fathomline.operators.keys import either_end
 
 #: Points that a task hulls at once in the first round.
 SALTS = 64
 
+#: Edges of a block that a task compares with another block's.
+BLOCK = 16_384
+
 
 def _placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(e, a, b, ax, ay, bx, by): edges between placed nodes, numbered; loops and repeated edges stay, as each counts."""
@@ -19,27 +22,28 @@ def _placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").withColumn("e", F.monotonically_increasing_id()).join(at("a"), "a").join(at("b"), "b")
 
 
-def crossings(nodes: DataFrame, edges: DataFrame, cells: int = 32) -> DataFrame:
+def crossings(nodes: DataFrame, edges: DataFrame, blocks: int = 32) -> DataFrame:
     """One row (crossing, edges, fraction): pairs of edges that cross within both, without a common end, by the square of the number of edges.
 
-    ``nodes`` are (node, x, y), ``edges`` (a, b). Edges meet in the cells of a grid over the layout that their boxes touch, and a pair counts in the
-    least cell of their common box only, so pairs aren't made twice. No edges give a fraction of 0.
+    ``nodes`` are (node, x, y), ``edges`` (a, b). Edges are dealt to blocks and each pair of blocks is compared once, so every pair of edges is
+    looked at once, in tasks of a bounded size; long edges made most pairs share the cells of a grid many times. The number of pairs is
+    that of the square of the edges. No edges give a fraction of 0.
     """
-    checkpoints(nodes.sparkSession)
-    placed = _placed(nodes, edges).checkpoint()
-    box = placed.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"), F.count("*").alias("m")).first()
-    wide, high = (max((box.x1 or 0) - (box.x0 or 0), 1e-9) / cells, max((box.y1 or 0) - (box.y0 or 0), 1e-9) / cells)
-    cell = lambda c, low, size: f"CAST(floor(({c} - {low or 0.0!r}D) / {size!r}D) AS INT)"
-    edge = placed.select(
-        "e", "a", "b", "ax", "ay", "bx", "by", *(F.expr(cell(f"{f}({c}, {d})", low, size)).alias(n) for n, f, c, d, low, size in (
-            ("u0", "least", "ax", "bx", box.x0, wide), ("u1", "greatest", "ax", "bx", box.x0, wide), ("v0", "least", "ay", "by", box.y0, high), ("v1", "greatest", "ay", "by", box.y0, high))))
-    spread = edge.withColumn("u", F.explode(F.sequence("u0", "u1"))).withColumn("v", F.explode(F.sequence("v0", "v1")))
-    other = spread.select("u", "v", *(F.col(c).alias(f"{c}_") for c in ("e", "a", "b", "ax", "ay", "bx", "by", "u0", "v0")))
+    placed = kept(_placed(nodes, edges))
+    m = placed.count()
+    blocks = max(blocks, 1 + m // BLOCK)
+    edge = placed.withColumn("block", F.pmod(F.xxhash64("e"), F.lit(blocks)).cast("int"))
+    tasks = min(blocks * (blocks + 1) // 2, 1024)
+    of = lambda meet: edge.withColumn("pair", F.explode(F.expr(meet))).drop("block").repartition(tasks, "pair")
+    one = of(f"transform(sequence(block, {blocks - 1}), j -> block * {blocks} + j)")
+    two = of(f"transform(sequence(0, block), i -> i * {blocks} + block)").select("pair", *(F.col(c).alias(f"{c}_") for c in ("e", "a", "b", "ax", "ay", "bx", "by")))
     side = lambda p, q, r: f"signum(({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
-    one, two = (("ax", "ay"), ("bx", "by")), (("ax_", "ay_"), ("bx_", "by_"))
-    apart = f"{side(*one, two[0])} * {side(*one, two[1])} < 0 AND {side(*two, one[0])} * {side(*two, one[1])} < 0"
-    met = spread.join(other, ["u", "v"]).where(f"e < e_ AND u = greatest(u0, u0_) AND v = greatest(v0, v0_) AND a <> a_ AND a <> b_ AND b <> a_ AND b <> b_ AND {apart}")
-    return met.agg(F.count("*").alias("crossing")).select("crossing", F.lit(box.m).cast("long").alias("edges"), (F.col("crossing") / F.lit(max(box.m, 1) ** 2)).alias("fraction"))
+    own, other = (("ax", "ay"), ("bx", "by")), (("ax_", "ay_"), ("bx_", "by_"))
+    apart = f"{side(*own, other[0])} * {side(*own, other[1])} < 0 AND {side(*other, own[0])} * {side(*other, own[1])} < 0"
+    # in a block with itself each pair stands in both orders
+    once = f"(pair DIV {blocks} <> pair % {blocks} OR e < e_)"
+    met = one.join(two, "pair").where(f"{apart} AND a <> a_ AND a <> b_ AND b <> a_ AND b <> b_ AND {once}")
+    return met.agg(F.count("*").alias("crossing")).select("crossing", F.lit(m).cast("long").alias("edges"), (F.col("crossing") / F.lit(max(m, 1) ** 2)).alias("fraction"))
 
 
 def distances(edges: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:

@@ -63,3 +63,10 @@ def test_hulls(table):
     assert found["square"].area == 25 and len(found["square"].corners) == 4 and found["line"].area == 0 and len(found["one"].corners) == 1
     ring = [(p.x, p.y) for p in found["round"].corners]
     assert all(side(a, b, (x, y)) >= 0 for a, b in zip(ring, ring[1:] + ring[:1], strict=True) for g, x, y in rows if g == "round")
+
+
+def test_every_pair_of_edges_meets_in_one_task(table, monkeypatch):
+    at, edges = made(4, 25, 90)
+    whole = tuple(layout.crossings(*frames(table, at, edges), 1).first())
+    monkeypatch.setattr(layout, "BLOCK", 7)
+    assert tuple(layout.crossings(*frames(table, at, edges), 1).first()) == whole and whole[0]
