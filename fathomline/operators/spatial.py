@@ -47,13 +47,16 @@ def nearest(points: DataFrame, targets: DataFrame, point: str, reaches: tuple[in
 
     Points look at their own and the neighbouring cells of latitude and longitude, across 180 degrees too. Cells grow (their
     degrees divide 360) only for points to which a target further away could be nearer, which are written down in between; the last cells
-    hold every target. Points without a place are left out, as targets are.
+    hold every target. Points without a place are left out, as targets are. A place is looked up once however many points or
+    targets it has; of a place's targets the smallest id counts.
     """
     checkpoints(points.sparkSession)
-    left = points.select(F.col(point), F.col("lat").cast("double").alias("__lat"), F.col("lng").cast("double").alias("__lng")).where("__lat IS NOT NULL AND __lng IS NOT NULL")
+    asked = points.select(F.col(point), F.col("lat").cast("double").alias("__lat"), F.col("lng").cast("double").alias("__lng")).where("__lat IS NOT NULL AND __lng IS NOT NULL").distinct()
+    left = asked.select("__lat", "__lng").distinct()
     given = targets.select("target", F.col("lat").cast("double").alias("__tlat"), F.col("lng").cast("double").alias("__tlng")).where("__tlat IS NOT NULL AND __tlng IS NOT NULL")
+    given = given.groupBy("__tlat", "__tlng").agg(F.min("target").alias("target"))
     km = haversine_km("__lat", "__lng", "__tlat", "__tlng")
-    keep, done = [point, "__lat", "__lng"], None
+    keep, done = ["__lat", "__lng"], None
     for reach in reaches:
         row, turn = "CAST(floor({} / " + str(reach) + ") AS INT)", 360 // reach
         near = f"transform(sequence(-1, 1), j -> struct({row.format('__lat')} + i AS a, pmod({row.format('__lng')} + j, {turn}) AS b))"
@@ -68,11 +71,11 @@ def nearest(points: DataFrame, targets: DataFrame, point: str, reaches: tuple[in
             settled = F.coalesce(F.col("b.km") < sure - 1e-6, F.lit(False))
             left = best.where(~settled).select(*keep)
             best = best.where(settled)
-        best = best.select(point, "b.target", "b.km")
+        best = best.select(*keep, "b.target", "b.km")
         done = best if done is None else done.unionAll(best)
         if reach < reaches[-1] and not left.limit(1).count():
             break
-    return done
+    return asked.join(done, keep).select(point, "target", "km")
 
 
 nearest_of_all = nearest

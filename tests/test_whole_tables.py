@@ -76,3 +76,10 @@ def test_nearest_of_all_targets(table):
     ball = lambda lat, lng: (math.cos(math.radians(lat)) * math.cos(math.radians(lng)), math.cos(math.radians(lat)) * math.sin(math.radians(lng)), math.sin(math.radians(lat)))
     got = nearest_of_all(table(p, "k int, lat double, lng double"), table(t, "target int, lat double, lng double"), "k").collect()
     assert {r.k: r.target for r in got} == {k: min(t, key=lambda y: cut(x, y[1:]))[0] for k, *x in p}
+
+
+def test_a_place_is_looked_up_once(table):
+    p = [(k, 10.0, 20.0) for k in range(50)] + [(50, 11.0, 20.0), (50, 11.0, 20.0)]
+    t = [(k, 10.5, 20.0) for k in range(60, 20, -1)] + [(9, 40.0, 40.0)]
+    found = nearest_of_all(table(p, "k int, lat double, lng double"), table(t, "target int, lat double, lng double"), "k")
+    assert sorted((r.k, r.target) for r in found.collect()) == [(k, 21) for k in range(51)]
