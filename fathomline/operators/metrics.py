@@ -107,10 +107,10 @@ def tier_cut(df: DataFrame, score: str, pinned: str, core_size: int, key: str, n
 TASK_ROWS = 250_000
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt by keys to as many tasks as their number asks for, no fewer than the session's shuffle partitions."""
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """The rows dealt by keys to as many tasks as their number asks for, no fewer than the session's shuffle partitions; ``rows`` gives the number where it is known."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, 1 + df.count() // TASK_ROWS), *keys)
+    return df.repartition(max(least, 1 + (df.count() if rows is None else rows) // TASK_ROWS), *keys)
 
 
 def co_occurrence(df: DataFrame, item: str, member: str, year: str, least: int = 1, cap: float = 20.0) -> DataFrame:

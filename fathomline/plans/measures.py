@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.operators.graph import collapsed, primary, vote, with_fallback
 from fathomline.operators.keys import latest, top_per_group
 from fathomline.operators.metrics import (
-    area_weights, arg_max, confidence_score, h_index_of_groups, percent_rank_score, shares, tier_cut, z_composite,
+    area_weights, arg_max, confidence_score, dealt, h_index_of_groups, percent_rank_score, shares, tier_cut, z_composite,
 )
 from fathomline.operators.nested import joined_set
 from fathomline.operators.predicates import token_flag
@@ -68,7 +68,7 @@ _SCORED = f"""WITH w AS ({_WORKS}), s AS (SELECT person, work, area, max(coalesc
 
 def _scored(t: Tables) -> DataFrame:
     w = _works(t).withColumn("confidence", F.when(F.col("conf") == "A", "high").when(F.col("conf") == "N", "medium"))
-    return w.groupBy("person", "work", "area").agg(F.max(confidence_score("score", "confidence")).alias("score"))
+    return dealt(w, "person", rows=t.lineitem.count()).groupBy("person", "work", "area").agg(F.max(confidence_score("score", "confidence")).alias("score"))
 
 
 @query(_SCORED + "SELECT person, work, area, round(score, 6) AS score FROM s")

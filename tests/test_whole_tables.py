@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fathomline.operators import metrics
 from fathomline.operators.spatial import nearest_of_all
-from fathomline.plans import edges, linkage, space, upserts
+from fathomline.plans import edges, linkage, measures, space, upserts
 from fathomline.plans.define import Tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -83,3 +84,12 @@ def test_a_place_is_looked_up_once(table):
     t = [(k, 10.5, 20.0) for k in range(60, 20, -1)] + [(9, 40.0, 40.0)]
     found = nearest_of_all(table(p, "k int, lat double, lng double"), table(t, "target int, lat double, lng double"), "k")
     assert sorted((r.k, r.target) for r in found.collect()) == [(k, 21) for k in range(51)]
+
+
+def test_scored_works_are_dealt_by_their_number(table, monkeypatch):
+    rows = [(k // 3, k % 5, k % 4, 10.0, 0.05, "A") for k in range(300)]
+    t = Fixture(lineitem=table(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string"), part=table([(k, f"Brand#{k}") for k in range(5)], "p_partkey long, p_brand string"))
+    before = sorted(map(tuple, measures.area_weighted_scores(t).collect()))
+    monkeypatch.setattr(metrics, "TASK_ROWS", 20)
+    assert measures._scored(t).rdd.getNumPartitions() == 16
+    assert sorted(map(tuple, measures.area_weighted_scores(t).collect())) == before
