@@ -29,17 +29,22 @@ def in_rings(x: str, y: str, rings: str) -> Column:
 
 
 def polygon_join(points: DataFrame, polygons: DataFrame, x: str, y: str, rings: str = "rings", cell: float = 1.0) -> DataFrame:
-    """Points with the polygons that hold them: a grid cell is the join key, then box, then ray cast."""
-    bounds = polygons.withColumn("__all", F.flatten(rings)).select(
-        *polygons.columns,
+    """Points with the polygons that hold them: a grid cell is the join key, then box, then ray cast.
+
+    A place and a shape are tested on one another once, however many points and polygons have them; what is left to do for these is the output.
+    """
+    bounds = polygons.select(rings).distinct().withColumn("__all", F.flatten(rings)).select(
+        rings,
         *(F.expr(f"array_{f}(transform(__all, p -> p.{c}))").alias(f"__{c}{k}") for c in "xy" for k, f in ((0, "min"), (1, "max"))),
     )
     cells = bounds.withColumn("__cx", F.explode(F.expr(f"sequence(CAST(floor(__x0 / {cell}) AS BIGINT), CAST(floor(__x1 / {cell}) AS BIGINT))")))
     cells = cells.withColumn("__cy", F.explode(F.expr(f"sequence(CAST(floor(__y0 / {cell}) AS BIGINT), CAST(floor(__y1 / {cell}) AS BIGINT))")))
-    keyed = points.withColumn("__px", F.floor(F.col(x) / cell)).withColumn("__py", F.floor(F.col(y) / cell))
+    keyed = points.select(x, y).distinct().withColumn("__px", F.floor(F.col(x) / cell)).withColumn("__py", F.floor(F.col(y) / cell))
     near = keyed.join(cells, (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy")))
     inside = F.col(x).between(F.col("__x0"), F.col("__x1")) & F.col(y).between(F.col("__y0"), F.col("__y1")) & in_rings(x, y, rings)
-    return near.where(inside).select(*points.columns, *(c for c in polygons.columns if c != rings))
+    met = near.where(inside).select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(rings).alias("__rings"))
+    held = points.join(met, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y"))).drop("__x", "__y")
+    return held.join(polygons, F.col("__rings") == F.col(rings)).select(*points.columns, *(c for c in polygons.columns if c != rings))
 
 
 def nearest(points: DataFrame, targets: DataFrame, point: str, reaches: tuple[int, ...] = (3, 12, 45, 180)) -> DataFrame:

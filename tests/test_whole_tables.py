@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import metrics
-from fathomline.operators.spatial import nearest_of_all
+from fathomline.operators.spatial import nearest_of_all, polygon_join
 from fathomline.plans import edges, linkage, measures, space, upserts
 from fathomline.plans.define import Tables
 
@@ -93,3 +93,11 @@ def test_scored_works_are_dealt_by_their_number(table, monkeypatch):
     monkeypatch.setattr(metrics, "TASK_ROWS", 20)
     assert measures._scored(t).rdd.getNumPartitions() == 16
     assert sorted(map(tuple, measures.area_weighted_scores(t).collect())) == before
+
+
+def test_copies_of_places_and_shapes_are_all_given(table):
+    points = table([(k, 1.0, 1.0) for k in range(20)] + [(20, 9.0, 9.0), (21, None, 1.0), (22, 1.0, 1.5)], "k int, x double, y double")
+    ring = [[(0.0, 0.0), (3.0, 0.0), (0.0, 3.0)]]
+    polygons = table([(k, ring) for k in range(5)] + [(5, [[(8.0, 8.0), (11.0, 8.0), (8.0, 11.0)]])], "p int, rings array<array<struct<x: double, y: double>>>")
+    got = sorted((r.k, r.p) for r in polygon_join(points, polygons, "x", "y").collect())
+    assert got == sorted([(k, p) for k in [*range(20), 22] for p in range(5)] + [(20, 5)])
