@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,12 @@ SALTS = 64
 #: Edges of a block that a task compares with another block's.
 BLOCK = 16_384
 
+#: Links of a graph, from both ends, that a task may hold whole; beyond it distances are joined round by round.
+WHOLE = 8_000_000
+
+#: Groups that the sources of a graph are dealt to, and distances that one of them holds at once.
+LANES, HELD = 64, 1 << 26
+
 
 def _placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(e, a, b, ax, ay, bx, by): edges between placed nodes, numbered; loops and repeated edges stay, as each counts."""
@@ -63,16 +72,86 @@ def distances(edges: DataFrame, sources: DataFrame | None = None, most: int | No
     return seen
 
 
-def stress(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """One row (pairs, stress): over pairs that the graph joins, the square of the relative difference of place distance and graph
-    distance, weighted by the latter; each pair counts from both sides. ``sources`` (source) limits it to pairs of these; 0 without pairs."""
+def _steps(others: np.ndarray, starts: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Graph distances (node, source), 0 where none leads there: each round passes on, as bits, which sources reached a node first in the last one."""
+    n, words = len(starts), -(-len(sources) // 64)
+    front = np.zeros((n, words * 8), np.uint8)
+    at = np.arange(len(sources))
+    np.bitwise_or.at(front, (sources, at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+    front = front.view(np.uint64)
+    seen, found, steps = front.copy(), np.zeros((n, len(sources)), np.uint8), 0
+    ends, part = np.append(starts, len(others)), max(1, n // 16)
+    while front.any():
+        steps += 1
+        if steps == 256:
+            found = found.astype(np.uint32)
+        new = np.empty_like(front)
+        for i in range(0, n, part):
+            j = min(i + part, n)
+            new[i:j] = np.bitwise_or.reduceat(front[others[ends[i]:ends[j]]], starts[i:j] - ends[i], axis=0) & ~seen[i:j]
+            if new[i:j].any():
+                found[i:j] += np.unpackbits(new[i:j].view(np.uint8), axis=1, count=len(sources), bitorder="little") * found.dtype.type(steps)
+        seen |= new
+        front = new
+    return found
+
+
+def _lane_stress(graph: pa.Table) -> pa.Table:
+    """(pairs, part, steps): the sums over pairs whose source is the lane's own, from the whole graph's (node, others, places, own)."""
+    graph = graph.combine_chunks()
+    array = lambda c: graph[c].chunk(0)
+    node, links, places = array("node"), array("others"), array("places")
+    starts = np.append(0, np.cumsum(pc.list_value_length(links).to_numpy(zero_copy_only=False)))[:-1].astype(np.int64)
+    others = pc.index_in(links.flatten(), value_set=node).to_numpy(zero_copy_only=False)
+    of, place = pc.list_parent_indices(places).to_numpy(zero_copy_only=False).astype(np.int64), places.flatten()
+    known = pc.and_(pc.is_valid(place.field("x")), pc.is_valid(place.field("y"))).to_numpy(zero_copy_only=False)
+    x, y = (pc.fill_null(place.field(c), 0.0).to_numpy(zero_copy_only=False) for c in "xy")
+    mine = np.flatnonzero(array("own").to_numpy(zero_copy_only=False)[of])
+    width = max(64, min(1024, HELD // max(len(starts), 1)) // 64 * 64)
+    pairs, part, weight, tall = 0, 0.0, 0, max(1, (1 << 17) // width)
+    for k in range(0, len(mine), width):
+        own = mine[k:k + width]
+        found = _steps(others, starts, of[own])
+        for i in range(0, len(of), tall):
+            j = min(i + tall, len(of))
+            d = found[of[i:j]].astype(np.float64)
+            size = np.sqrt(np.square(x[i:j, None] - x[own]) + np.square(y[i:j, None] - y[own]))
+            ratio = np.square((size - d) / np.maximum(np.maximum(size, d), 1e-9)) * d
+            pairs, weight = pairs + int(np.count_nonzero(d)), weight + int(d.sum())
+            part += float(ratio.sum(where=(d > 0) & known[i:j, None] & known[own]))
+    return pa.table({"pairs": pa.array([pairs], pa.int64()), "part": pa.array([part], pa.float64()), "steps": pa.array([weight], pa.int64())})
+
+
+def _joined_stress(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """(pairs, part, steps) over the pairs themselves, which are joined round by round and written down."""
     far = distances(edges, sources).where("steps > 0")
     if sources is not None:
         far = far.join(sources.select(F.col("source").alias("node")).distinct(), "node", "left_semi")
     at = lambda end, n: nodes.select(F.col("node").alias(end), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
     both = far.join(at("source", 1), "source").join(at("node", 2), "node").withColumn("l", F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2)))
     part = F.pow((F.col("l") - F.col("steps")) / F.greatest("l", "steps", F.lit(1e-9)), 2) * F.col("steps")
-    return both.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(part) / F.sum("steps"), F.lit(0.0)).alias("stress"))
+    return both.select(F.lit(1).alias("pairs"), part.alias("part"), "steps")
+
+
+def stress(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """One row (pairs, stress): over pairs that the graph joins, the square of the relative difference of place distance and graph
+    distance, weighted by the latter; each pair counts from both sides. ``sources`` (source) limits it to pairs of these; 0 without pairs.
+
+    All pairs are looked at, so the time grows with their number, but none is written down: the sources are dealt to lanes, each gets the graph of
+    at most ``WHOLE`` links and sums up over its own sources. A larger graph is joined round by round.
+    """
+    both = kept(either_end(edges.select("a", "b").where("a <> b")).select("node", "other").distinct())
+    if both.count() > WHOLE:
+        sums = _joined_stress(nodes, edges, sources)
+    else:
+        placed = nodes.select("node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        if sources is not None:
+            placed = placed.join(sources.select(F.col("source").alias("node")).distinct(), "node", "left_semi")
+        places = placed.groupBy("node").agg(F.collect_list(F.struct("x", "y")).alias("places"))
+        graph = both.groupBy("node").agg(F.collect_list("other").alias("others")).join(places, "node", "left").withColumn("places", F.coalesce("places", F.array()))
+        lanes = graph.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))).withColumn("own", F.pmod(F.xxhash64("node"), F.lit(LANES)) == F.col("lane"))
+        sums = lanes.repartition(LANES, "lane").groupBy("lane").applyInArrow(_lane_stress, "pairs long, part double, steps long")
+    return sums.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("part") / F.nullif(F.sum("steps"), F.lit(0)), F.lit(0.0)).alias("stress"))
 
 
 def _hull(points: pd.DataFrame) -> pd.DataFrame:

@@ -70,3 +70,29 @@ def test_every_pair_of_edges_meets_in_one_task(table, monkeypatch):
     whole = tuple(layout.crossings(*frames(table, at, edges), 1).first())
     monkeypatch.setattr(layout, "BLOCK", 7)
     assert tuple(layout.crossings(*frames(table, at, edges), 1).first()) == whole and whole[0]
+
+
+def test_stress_writes_no_pairs_down(table, monkeypatch):
+    at, edges = made(5, 40, 45)
+    nodes, links = frames(table, at, edges)
+    nodes = nodes.unionByName(table([(3, 1.0, 2.0), (4, None, 2.0), (99, 0.0, 0.0)], "node int, x double, y double"))
+    some = table([(k,) for k in range(0, 40, 3)], "source int")
+    ring = table([(k, (k + 1) % 600) for k in range(600)], "a int, b int")
+    round_ = table([(k, float(k % 7), float(k % 11)) for k in range(600)], "node int, x double, y double")
+    cases = [(nodes, links, some), (nodes.withColumn("node", nodes.node.cast("string")), links.selectExpr("cast(a as string) a", "cast(b as string) b"), None)]
+    monkeypatch.setattr(layout, "WHOLE", 0)
+    want = [tuple(layout.stress(*c).first()) for c in cases]
+    monkeypatch.undo()
+    monkeypatch.setattr(layout, "distances", None)
+    monkeypatch.setattr(layout, "HELD", 1 << 9)
+    for c, (pairs, value) in zip(cases, want, strict=True):
+        r = layout.stress(*c).first()
+        assert r.pairs == pairs > 0 and abs(r.stress - value) < 1e-9
+    # distances over 255
+    num = den = 0
+    for a, b in itertools.permutations(range(600), 2):
+        d = min((a - b) % 600, (b - a) % 600)
+        size = ((a % 7 - b % 7) ** 2 + (a % 11 - b % 11) ** 2) ** 0.5
+        num, den = num + d * ((size - d) / max(size, d)) ** 2, den + d
+    r = layout.stress(round_, ring).first()
+    assert r.pairs == 600 * 599 and abs(r.stress - num / den) < 1e-9
