@@ -69,10 +69,7 @@ def greedy_customers(t: Tables) -> DataFrame:
     c = t.customer.selectExpr(
         "c_custkey AS k", "concat(c_nationkey, '-', c_mktsegment, '-', CAST(floor(c_acctbal / 400) AS INT)) AS id",
         "concat('x', CAST(round(c_acctbal * 100) AS BIGINT) % 1499) AS url", "c_nationkey AS nation", "c_acctbal AS bal")
-    near = c.select("k", "nation", "bal", F.floor(F.col("bal") / 40).alias("cell"))
-    other = near.select(F.col("k").alias("k2"), "nation", F.col("bal").alias("bal2"), F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("cell"))
-    pairs = near.join(other, ["nation", "cell"]).where("k < k2 AND abs(bal - bal2) < 40").select(F.col("k").alias("a"), F.col("k2").alias("b"))
-    return matching.greedy_records(c, "k", "k", [("id", F.col("id")), ("url", F.col("url"))], pairs)
+    return matching.greedy_records(c, "k", "k", [("id", F.col("id")), ("url", F.col("url"))], near=("pair", F.col("nation"), F.col("bal"), 40.0))
 
 
 _ASKED = """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN upper('Supplier#' || lpad(CAST(o_custkey % 120 AS VARCHAR), 9, '0')) WHEN 2 THEN lpad(CAST(o_custkey % 120 AS VARCHAR), 8, '0')

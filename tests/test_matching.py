@@ -82,6 +82,22 @@ def test_greedy_records_are_the_loop(table):
     assert greedy(table, rows, pairs) == loop(rows, [p for p in pairs if p[0] != p[1]])
 
 
+def test_greedy_records_near_a_value_are_the_loop(table):
+    ids, homes = [None, "", *"abcdefghijkl"], [None, "x", "x|1", "y"]
+    spots = [(k, RND.randint(0, 90), RND.choice(ids), RND.choice([None, *(f"u{i}" for i in range(60))]), RND.choice(homes), RND.choice([None, float("nan"), *(RND.randint(-4000, 4000) / 100 for _ in range(40))])) for k in range(220)]
+    pairs = [(RND.randrange(220), RND.randrange(220)) for _ in range(30)]
+    alike = lambda p, q: p[4] is not None and p[4] == q[4] and p[5] is not None and q[5] is not None and abs(p[5] - q[5]) < 4.0
+    close = [(p[0], q[0]) for p in spots for q in spots if p[0] < q[0] and alike(p, q)]
+    found = matching.greedy_records(
+        table(spots, "k long, o long, id string, url string, home string, v double"), "k", "o", [("id", F.col("id")), ("url", F.col("url"))], table(pairs, "a long, b long"), ("pair", F.col("home"), F.col("v"), 4.0))
+    got = {r.k: r for r in found.collect()}
+    near = matching.greedy_records(table([s[:1] + s[4:] for s in spots], "k long, home string, v double"), "k", "k", [], near=("pair", F.col("home"), F.col("v"), 4.0))
+    assert {r.k: (r.record, r.rule) for r in near.collect()} == loop([(s[0], s[0], None, None) for s in spots], close)
+    want = loop([s[:4] for s in spots], close + [p for p in pairs if p[0] != p[1]])
+    # near values and pairs are one rule in the loop and two in turn here, so only which record is taken may differ
+    assert {k: r.rule for k, r in got.items()} == {k: v[1] for k, v in want.items()} and close
+
+
 def test_facilities_by_each_rule(table):
     targets = table([(1, "Reef Station", "RS"), (2, "Bay Marine Laboratory", None), (3, "Bay Marine Institute", "bmi"), (4, "reef station", ""), (5, "50% Lab", "x")], "target int, name string, acronym string")
     asked = [("anything", "rs"), ("REEF STATION", None), ("marine lab", ""), ("bay marine", None), ("Bay Marin Laboratory", None), ("nothing", None), (None, None), (None, "BMI"), ("0% l", None), ("t", None)]
