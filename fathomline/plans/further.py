@@ -245,10 +245,16 @@ def author_resolver(t: Tables) -> DataFrame:
     """Family names equal, given names compatible, no stub; then one author of the person's institution, else the only one."""
     people = t.customer.selectExpr("c_custkey AS person", "c_custkey % 40 AS family", "c_custkey % 7 AS given", "c_nationkey AS institution")
     authors = t.supplier.where("NOT s_acctbal < 0").selectExpr("s_suppkey AS author", "s_suppkey % 40 AS f", "s_suppkey % 5 AS g", "s_nationkey AS i")
-    met = people.join(authors, F.col("family") == F.col("f")).where("given = g OR g = 0")
-    home = F.col("institution") == F.col("i")
-    found = met.groupBy(F.col("person").alias("p")).agg(F.count("*").alias("n"), F.count_if(home).alias("h"), F.min("author").alias("one"), F.min(F.when(home, F.col("author"))).alias("at_home"))
-    return people.join(found, F.col("person") == F.col("p"), "left").selectExpr(
+    # people and authors meet as kinds of equal names, by the person's given name and by none, so no pair of them is made
+    of = authors.groupBy("f", "g").agg(F.count("*").alias("n"), F.min("author").alias("one"))
+    at = authors.groupBy("f", "g", "i").agg(F.count("*").alias("h"), F.min("author").alias("at_home"))
+    kinds = people.select("family", "given", "institution").distinct().withColumn("g", F.explode(F.array_distinct(F.array(F.col("given"), F.lit(0).cast("long")))))
+    met = kinds.join(of, (F.col("family") == F.col("f")) & (kinds.g == of.g)).drop(of.f, of.g).join(
+        at, (kinds.family == at.f) & (kinds.g == at.g) & (kinds.institution == at.i), "left")
+    found = met.groupBy("family", "given", "institution").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).alias("h"), F.min("one").alias("one"), F.min("at_home").alias("at_home"))
+    same = [people[c].eqNullSafe(found[c]) for c in ("family", "given", "institution")]
+    return people.join(found, same, "left").selectExpr(
         "person", "CASE WHEN h = 1 THEN at_home WHEN h = 0 AND n = 1 THEN one END AS author",
         "CASE WHEN h = 1 THEN 'institution' WHEN h > 1 THEN 'ambiguous' WHEN n = 1 THEN 'single' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS rule")
 

@@ -101,3 +101,22 @@ def test_copies_of_places_and_shapes_are_all_given(table):
     polygons = table([(k, ring) for k in range(5)] + [(5, [[(8.0, 8.0), (11.0, 8.0), (8.0, 11.0)]])], "p int, rings array<array<struct<x: double, y: double>>>")
     got = sorted((r.k, r.p) for r in polygon_join(points, polygons, "x", "y").collect())
     assert got == sorted([(k, p) for k in [*range(20), 22] for p in range(5)] + [(20, 5)])
+
+
+def test_authors_and_people_meet_as_kinds(table):
+    from types import SimpleNamespace
+
+    from fathomline.plans import further
+
+    people = [(k, None if k % 17 == 0 else k * k % 5) for k in range(200)]
+    authors = [(k, k * k % 5, float(k % 4 - 1)) for k in range(0, 140, 3)]
+    found = further.author_resolver(SimpleNamespace(
+        customer=table(people, "c_custkey long, c_nationkey int"), supplier=table(authors, "s_suppkey long, s_nationkey int, s_acctbal double")))
+    want = {}
+    for k, nation in people:
+        met = [(a, n) for a, n, bal in authors if bal >= 0 and a % 40 == k % 40 and (a % 5 == k % 7 or a % 5 == 0)]
+        home = [a for a, n in met if n == nation]
+        one = home[0] if len(home) == 1 else met[0][0] if not home and len(met) == 1 else None
+        want[k] = (one, "institution" if len(home) == 1 else "ambiguous" if home or len(met) > 1 else "single" if met else "none")
+    assert {r.person: (r.author, r.rule) for r in found.collect()} == want and len({rule for _, rule in want.values()}) > 2
+    assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()
