@@ -132,3 +132,14 @@ def test_rounds_build_on_tables_read_anew(table):
     assert graph.components(edges).inputFiles()
     classes, _ = closure(table([("x", "id", "1"), ("y", "id", "1")], "s string, p string, o string"), Rules(inverse_functional=("id",)))
     assert classes.inputFiles() and {tuple(r) for r in classes.collect()} == {("x", "x"), ("y", "x")}
+
+
+def test_triples_are_dealt_by_their_number(table, monkeypatch):
+    from fathomline.operators import metrics
+
+    monkeypatch.setattr(metrics, "TASK_ROWS", 2)
+    rows = [*node("both", "RegistryPerson", sourceUrl=None), *node("both", "CohortMembership", sourceUrl=None, cohort=None), ("bare", "type", "ResearchArea", True, None), ("bare", "type", "CoauthorEdge", True, None)]
+    found = report(table(BASE + rows, "s string, p string, o string, iri boolean, datatype string"))
+    got = {(r.focus, r.shape, r.constraint) for r in found.collect()}
+    assert got >= {("both", "RegistryPerson", "sourceUrl minCount"), ("both", "CohortMembership", "sourceUrl minCount"), ("both", "CohortMembership", "cohort minCount"), ("bare", "CoauthorEdge", "matchMethod minCount")}
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString() and "hashpartitioning(s" in found._jdf.queryExecution().toString()
