@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from fathomline.operators.graph import checkpoints
+from fathomline.operators.graph import checkpoints, kept
 
 
 #: Rows of one mark that a task joins at most, from either side.
 SPLIT = 4096
 
+#: Pairs that a task scores.
+SCORED = 50_000
+
 
 def indel_ratio(a: str, b: str) -> float:
     """100 x 2 LCS / (len a + len b), with one number's bits as a row of the LCS table."""
@@ -133,7 +136,10 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: st
     a, b = keyed(left, left_name).withColumnRenamed("__n", "__l"), keyed(right, right_name).withColumnRenamed("__n", "__r")
     names = lambda df, c: df.select(F.col(c).alias("name")).distinct().withColumn("id", F.col("name"))
     pairs = candidates(names(a, "__l"), names(b, "__r"), threshold)
-    pairs = pairs.select(F.col("l").alias("__a"), F.col("r").alias("__b"))
+    # written down to be counted, since each pair costs Python far more than its few bytes suggest
+    pairs = kept(pairs.select(F.col("l").alias("__a"), F.col("r").alias("__b")))
+    n = pairs.count()
+    pairs = pairs.repartition(max(1, -(-n // SCORED))) if n > SCORED else pairs
     scored = pairs.withColumn("score", token_set_ratio("__a", "__b")).where(F.col("score") >= threshold)
     joined = scored.join(a, F.col("__a") == F.col("__l")).join(b, F.col("__b") == F.col("__r"))
     if residual is not None:
