@@ -117,14 +117,21 @@ def co_occurrence(df: DataFrame, item: str, member: str, year: str, least: int =
     """(a, b, n, first_year, last_year, strength) for members a < b that share items.
 
     Member rows of an item are made distinct first, so pairs are per item and not per row. Items are dealt to a number of tasks that
-    grows with the rows, since a task counts its pairs before they shuffle.
+    grows with the rows, since a task counts its pairs before they shuffle. Where the members could make more different pairs than
+    the session's shuffle partitions should hold, pairs are dealt to a number of tasks that grows with them: about the rows times
+    half an item's mean, or 64 times the rows at most. That number decides the tasks and never the result.
     """
     given = df.select(item, member, year).where(f"{member} IS NOT NULL AND {item} IS NOT NULL")
-    rows = dealt(given, item).groupBy(item, member).agg(F.max(year).alias("y"))
+    n, items, members = given.agg(F.count("*"), F.approx_count_distinct(item), F.approx_count_distinct(member)).first()
+    rows = dealt(given, item, rows=n).groupBy(item, member).agg(F.max(year).alias("y"))
     a, b = rows.alias("x"), rows.alias("z")
-    pairs = a.join(b, (F.col(f"x.{item}") == F.col(f"z.{item}")) & (F.col(f"x.{member}") < F.col(f"z.{member}")))
-    return pairs.groupBy(F.col(f"x.{member}").alias("a"), F.col(f"z.{member}").alias("b")).agg(
-        F.count("*").alias("n"), F.min("x.y").alias("first_year"), F.max("x.y").alias("last_year")
+    pairs = a.join(b, (F.col(f"x.{item}") == F.col(f"z.{item}")) & (F.col(f"x.{member}") < F.col(f"z.{member}"))).select(
+        F.col(f"x.{member}").alias("a"), F.col(f"z.{member}").alias("b"), "x.y")
+    most = members * members // 2
+    if most > TASK_ROWS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        pairs = dealt(pairs, "a", "b", rows=min(most, n * n // (2 * items), 64 * n))
+    return pairs.groupBy("a", "b").agg(
+        F.count("*").alias("n"), F.min("y").alias("first_year"), F.max("y").alias("last_year")
     ).where(F.col("n") >= least).withColumn("strength", F.least(F.col("n") / F.lit(cap), F.lit(1.0)))
 
 

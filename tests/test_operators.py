@@ -131,6 +131,18 @@ def test_items_are_dealt_to_tasks_by_their_number(table, monkeypatch):
     assert rows(metrics.co_occurrence(works, "w", "p", "y")) == found and sum(r[2] for r in found) == 600
 
 
+def test_pairs_are_dealt_to_tasks_by_their_number(table, monkeypatch):
+    works = table([(i // 3, i * 7 % 200, 2000 + i % 5) for i in range(600)] + [(None, 1, 2000), (7, None, 2000)], "w int, p int, y int")
+    few = metrics.co_occurrence(works, "w", "p", "y")
+    assert few.rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(metrics, "TASK_ROWS", 25)
+    found = metrics.co_occurrence(works, "w", "p", "y")
+    assert 30 <= found.rdd.getNumPartitions() <= 40  # 600 pairs; the number of items is an estimate
+    assert rows(found) == rows(few) and sum(r.n for r in found.collect()) == 600
+    none = metrics.co_occurrence(works.where("w IS NULL"), "w", "p", "y")
+    assert rows(none) == []
+
+
 def test_contested(table):
     df = table([("k", 1), ("k", 2), ("l", 3), ("l", 3)], "c string, o int")
     assert rows(keys.contested(df, "c", "o").distinct()) == [("l", 3)]
