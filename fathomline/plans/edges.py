@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators.graph import components, roots, supergraph
 from fathomline.operators.keys import either_end, with_endpoints
-from fathomline.operators.metrics import co_occurrence, degree
+from fathomline.operators.metrics import co_occurrence, dealt, degree
 from fathomline.operators.nested import chips, joined_set, ordered_structs, sorted_set
 from fathomline.operators.predicates import band
 from fathomline.plans.define import Plans, Tables
@@ -184,9 +184,10 @@ def deep_rollup(t: Tables) -> DataFrame:
 
 def _to_least(lines: DataFrame) -> DataFrame:
     """(a, b): each part of an order with the order's least part, which connects what all pairs would."""
-    e = lines.where("l_partkey IS NOT NULL AND l_orderkey IS NOT NULL").select("l_orderkey", "l_partkey").distinct()
+    given = lines.select("l_orderkey", "l_partkey").where("l_partkey IS NOT NULL AND l_orderkey IS NOT NULL")
+    e = dealt(given, "l_orderkey").distinct()
     least = e.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
-    return e.join(least, "l_orderkey").where("a <> l_partkey").select("a", F.col("l_partkey").alias("b")).distinct()
+    return e.join(least, "l_orderkey").where("a <> l_partkey").select("a", F.col("l_partkey").alias("b"))
 
 
 @query()

@@ -154,6 +154,15 @@ def test_components(table):
     assert all(found[i] == 1 for i in range(1, 41)) and found[101] == 100
 
 
+def test_edges_are_dealt_to_tasks_by_their_number(table, monkeypatch):
+    edges, seen, kept = table([(i, i + 1) for i in range(1, 40)] * 2 + [(100, 101), (7, 7), (50, 50)], "a long, b long"), [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: seen.append(df.rdd.getNumPartitions()) or kept(df))
+    monkeypatch.setattr(metrics, "TASK_ROWS", 10)
+    found = dict(map(tuple, graph.components(edges).collect()))
+    assert found == {i: 1 for i in range(1, 41)} | {50: 50, 100: 100, 101: 100}
+    assert seen[1:3] == [17, 17]  # 81 edges, both ways
+
+
 def test_collapse_follows_chains():
     ends = graph.collapse_map([("leaf", 1), ("mid", 1), ("top", 10), ("lone", 1)], {"leaf": "mid", "mid": "top", "top": None, "lone": None}, 3)
     assert ends == {"leaf": "top", "mid": "top", "top": "top", "lone": "lone"}
