@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,17 +136,24 @@ def tokenised(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
 
     def run(batches):
         encode = encoder(vocabulary(vocab))
-        wide = encode.library.get_vocab_size() > 1 << 16
-        end = np.array([end_id], "<u4").tobytes()
+        kind = "<u4" if encode.library.get_vocab_size() > 1 << 16 else "<u2"
         for b in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in encode.all(b["text"])]
-            yield {
-                "doc_id": b["doc_id"], "row": b["row"], "n": [len(x) for x in ids],
-                "ids": [(x if wide else x.astype("<u2")).tobytes() for x in ids],
-            }
+            ids, n = encode.column(b.column("text"), kind)
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            done = 0
+            for at, size in _grouped(n.tolist(), 64 * BLOCK_IDS):
+                bounds = np.append(0, np.cumsum(n[at : at + size]))
+                own = ids[done : done + bounds[-1]]
+                done += bounds[-1]
+                held = [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(own)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(at, size), b.column("row").slice(at, size), pa.array(n[at : at + size], pa.int64()),
+                     pa.Array.from_buffers(pa.binary(), size, held)],
+                    names=["doc_id", "row", "n", "ids"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
-    return arrow_rows(rows, "doc_id long, row long, n long, ids binary", run)
+    return rows.mapInArrow(run, "doc_id long, row long, n long, ids binary")
 
 
 def _grouped(sizes: list[int], most: int):

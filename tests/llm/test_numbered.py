@@ -8,6 +8,7 @@ from array import array
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fathomline.llm import chat, exact_dedup, language, leaks, licenses, packing, pages, simhash, token_counts, token_files, units
@@ -503,3 +504,39 @@ def test_joined_words_have_the_ids_of_each(name):
     rnd.shuffle(pieces)
     assert encode.ids(pieces) == [array("I", x).tobytes() for x in encode.library_ids(pieces)]
     assert encode.ids([]) == []
+
+
+@pytest.mark.parametrize("window", [1, 7, 1 << 23])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_columns_have_the_ids_of_each_text(monkeypatch, name, window):
+    monkeypatch.setattr(units, "WINDOW", window)
+    rnd, encode = random.Random(window), units.Encoder(units.vocabulary(name))
+    atoms = [*ATOMS, " don't", " été,", "\nFoo.", "\xa0", " ", " ", "»", "”", "ſ", "٣", "\r\n", "</s>", "-", "ñ:"]
+    texts = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 16))) for _ in range(1500)] + [None, "", "x" * 999, " ", None]
+    ids, counts = encode.column(pa.array(["left out", *texts]).slice(1))
+    want = [e.ids for e in encode.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    for kind in (pa.string(), pa.large_string()):
+        ids, counts = encode.column(pa.array(texts[::-1], kind), "<u2")
+        assert ids.dtype == "<u2" and counts.tolist() == list(map(len, want[::-1])) and ids.tolist() == sum(want[::-1], [])
+    assert [x.tolist() for x in encode.column(pa.array([], pa.string()))] == [[], []]
+    for t in texts:
+        if t:
+            cuts = {len("".join(units.CUTS.findall(t)[:k]).encode()) for k in range(len(t))}
+            assert set(units.starts(np.frombuffer(t.encode(), np.uint8), np.zeros(1, int)).tolist()) <= cuts, repr(t)
+
+
+def test_a_column_looks_each_piece_up_once(spark, monkeypatch):
+    """Cost of the token files: pieces asked of the memory of pieces, by any of its ways."""
+    asked = []
+    for way in ("values", "distinct"):
+        if plain := getattr(units.Kept, way, None):
+            monkeypatch.setattr(units.Kept, way, lambda self, pieces, find, plain=plain: asked.extend(pieces) or plain(self, pieces, find))
+    docs = pa.record_batch({"doc_id": [1, 2], "row": [0, 1], "text": ["the cat, the cat. " * 500, "the cat, the dog. " * 500]})
+    held = {}
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: held.setdefault("run", run) and self)
+    token_files.tokenised(spark.createDataFrame([], "doc_id long, text string"), "byte_bpe_50k.json", 0)
+    (made,) = held["run"](iter([docs]))
+    for text, n, ids in zip(*(made.column(c).to_pylist() if c != "text" else docs.column(c).to_pylist() for c in ("text", "n", "ids")), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == slow_ids(text) + [0] and n == len(ids) // 2
+    assert len(asked) < 20
