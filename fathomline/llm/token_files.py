@@ -15,11 +15,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import arrow_rows, new_folder, written
-from fathomline.llm.units import encoder, vocabulary
+from fathomline.llm.units import WINDOW, encoder, vocabulary
 
 LANE = 128
 BLOCK_IDS = 1 << 16
@@ -138,19 +139,16 @@ def tokenised(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
         encode = encoder(vocabulary(vocab))
         kind = "<u4" if encode.library.get_vocab_size() > 1 << 16 else "<u2"
         for b in batches:
-            ids, n = encode.column(b.column("text"), kind)
-            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
-            done = 0
-            for at, size in _grouped(n.tolist(), 64 * BLOCK_IDS):
-                bounds = np.append(0, np.cumsum(n[at : at + size]))
-                own = ids[done : done + bounds[-1]]
-                done += bounds[-1]
-                held = [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(own)]
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+            for at, size in _grouped(sizes, WINDOW):
+                part = b.slice(at, size)
+                ids, n = encode.column(part.column("text"), kind)
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                ends = (np.append(0, np.cumsum(n)) * ids.itemsize).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(at, size), b.column("row").slice(at, size), pa.array(n[at : at + size], pa.int64()),
-                     pa.Array.from_buffers(pa.binary(), size, held)],
-                    names=["doc_id", "row", "n", "ids"],
-                )
+                    [part.column("doc_id"), part.column("row"), pa.array(n, pa.int64()), held], names=["doc_id", "row", "n", "ids"]
+                )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
     return rows.mapInArrow(run, "doc_id long, row long, n long, ids binary")
