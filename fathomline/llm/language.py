@@ -9,6 +9,7 @@ the second codeword flags the prediction as ambiguous.
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 import numpy as np
@@ -98,12 +99,16 @@ class Model:
         return self.names[order[0]], score, score < 0.6
 
 
-def _has_letter(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
+def _has_letter(raw: bytes | None) -> bool:
+    """Whether a text in UTF-8 holds a letter of any script. Python tells, since Java 17 misses the letters of Unicode 14 and later."""
+    return raw is not None and (_ASCII_LETTER.search(raw) is not None or any(map(str.isalpha, raw.decode("utf-8", "replace"))))
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn from all rows with text and lang. What reaches the driver is bounded by the number
+    """Learn from all rows with text and lang, texts without a letter too. What reaches the driver is bounded by the number
     of languages times the gram space."""
     width = len(SIZES) << SPACE_BITS
 
@@ -120,7 +125,7 @@ def fit(docs: DataFrame) -> Model:
             at = np.flatnonzero(total)
             yield {"lang": [lang] * (len(at) + 1), "gram": [-1, *at.tolist()], "n": [rows[lang], *total[at].tolist()]}
 
-    given = docs.where(F.col("lang").isNotNull() & _has_letter(F.col("text"))).select("lang", F.col("text").cast("binary").alias("text"))
+    given = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("binary").alias("text"))
     summed = arrow_rows(given, "lang string, gram long, n long", run).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(summed["lang"].unique())
     counts, rows = np.zeros((len(names), width)), np.zeros(len(names))
@@ -133,27 +138,24 @@ def fit(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, *carried: Column) -> DataFrame:
-    """doc_id, the carried columns, lang_pred, score, ambiguous: one row per row.
+    """doc_id, the carried columns, lang_pred, score, ambiguous, has_letter: one row per row.
 
     A null text, or one without a letter, gives ``und`` with score 0. Only the text is read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(
-        F.col("doc_id").cast("long"), *carried,
-        F.when(_has_letter(F.col("text")), F.col("text").cast("binary")).alias("__raw"),
-    )
+    given = docs.select(F.col("doc_id").cast("long"), *carried, F.col("text").cast("binary").alias("__raw"))
     others = given.drop("__raw")
 
     def run(batches):
         m = held.value
         for b in batches:
-            found = [(UNKNOWN, 0.0, True) if raw is None else m.predict(raw) for raw in b["__raw"]]
+            found = [(*m.predict(raw), True) if _has_letter(raw) else (UNKNOWN, 0.0, True, False) for raw in b["__raw"]]
             yield {k: v for k, v in b.items() if k != "__raw"} | dict(
-                zip(("lang_pred", "score", "ambiguous"), map(list, zip(*found, strict=True)) if found else ([], [], []), strict=True)
+                zip(("lang_pred", "score", "ambiguous", "has_letter"), map(list, zip(*found, strict=True)) if found else ([], [], [], []), strict=True)
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others.schema)
-    return arrow_rows(given, f"{schema}, lang_pred string, score double, ambiguous boolean", run)
+    return arrow_rows(given, f"{schema}, lang_pred string, score double, ambiguous boolean, has_letter boolean", run)
 
 
 def held_out() -> Column:
@@ -177,8 +179,11 @@ def op9_language(spark, sf_dir: str) -> DataFrame:
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; null texts and texts without letters go."""
+    """The rows of ``docs`` whose text can have a language; null texts and texts without letters go.
+
+    Texts with letters stay if no language was learned, and if theirs is learned under the name ``und``.
+    """
     model = fit(docs.where(~held_out()))
     held = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)]
-    kept = predict(docs, model, *held).where(F.col("lang_pred") != UNKNOWN)
+    kept = predict(docs, model, *held).where("has_letter")
     return kept.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)))

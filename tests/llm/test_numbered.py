@@ -456,6 +456,19 @@ def test_language(spark, cases, nothing):
     assert language.identified(nothing.selectExpr("doc_id", "text", "label AS lang")).count() == 0
 
 
+def test_language_leaves_no_letters_out(spark):
+    learned = [(i, text, lang) for i in range(40) for text, lang in [("the cat sat on the mat", "en") if i % 2 else ("der Hund liegt im Gras", "de")]]
+    odd = [(1000, "\U00031350\U00031351", None), (1001, "\U00010570", None), (1002, "12 \u0870", None), (1003, "12 \u2163 \u00b2", None), (1004, "", None), (1005, None, None)]
+    docs = spark.createDataFrame(learned + odd, "doc_id long, text string, lang string")
+    want = {i for i in range(40)} | {1000, 1001, 1002}
+    got = {r.doc_id: r.lang_pred for r in language.identified(docs).collect()}
+    assert {i for i in got if got[i] in ("de", "en")} == want and all(got[i] == "und" for i in (1003, 1004, 1005))
+    for lang in ("lang", "CAST(NULL AS STRING)", "replace(lang, 'de', 'und')"):
+        assert {r.doc_id for r in language.recognised(docs.selectExpr("doc_id", "text", f"{lang} AS lang")).collect()} == want
+    numbers = spark.createDataFrame([(1, "12 34", "num"), (2, "the cat", "en"), (3, None, "none")], "doc_id long, text string, lang string")
+    assert language.fit(numbers).names == ["en", "num"]
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 4, 5, 9, 30):
         code = language.codewords(n)
