@@ -50,6 +50,19 @@ def test_closure_is_the_naive_one(table):
         assert {tuple(r) for r in facts.collect()} == {(root(s), p, root(o)) for s, p, o in all_ if p != "sameAs"}
 
 
+def test_bridges_of_a_large_class_are_dealt(table, monkeypatch):
+    for name, size in (("SIDE", 16), ("TURN", 5), ("WEIGHT", 1)):
+        monkeypatch.setattr(f"fathomline.operators.closure.{name}", size, raising=False)
+    rows = [(f"{kind}/{i}", "least") for kind, n in (("person", 300), ("coauthor", 90)) for i in range(n)]
+    rows += [("person/a", "x"), ("coauthor/b", "x"), ("coauthor/c", "x"), ("person/lone", "y"), ("coauthor/lone", "z"), ("coauthor/none", None), *((f"person/y{i}", "y") for i in range(40))]
+    kind = lambda name: F.col("node").startswith(f"{name}/")
+    found = bridges(table(rows, "node string, same string").coalesce(1), kind("person"), kind("coauthor")).withColumn("at", F.spark_partition_id()).collect()
+    assert sorted((r.left, r.right) for r in found) == sorted((a, b) for a, x in rows for b, y in rows if x == y is not None and a[:6] == "person" and b[:8] == "coauthor")
+    held = [sum(r["at"] == at for r in found) for at in {r["at"] for r in found}]
+    assert max(held) < len(found) / 2
+    assert bridges(table(rows, "node string, same string").where("same = 'y'"), kind("person"), kind("coauthor")).count() == 0
+
+
 def test_bridges_and_other_rules(table):
     t = table([("person/1", "orcid", "v"), ("coauthor/9", "orcid", "v"), ("person/2", "orcid", "w")], "s string, p string, o string")
     classes, _ = closure(t, Rules(("orcid",)))
